@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomgrid.llm import exact_dedup, mixing
+from loomgrid.llm import exact_dedup, hilbert_ann, html_main, mixing, packing, quality, simhash, substring_dedup, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +15,61 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(_documents(spark, sf_dir))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each unit that goes, and the document that keeps it."""
+    return substring_dedup.removed_units(_documents(spark, sf_dir)).drop("uid")
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir)).drop("uid")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_quality": op3_quality,
+    "op4_pack": op4_pack,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_toxicity": op7_toxicity,
+    "op8_html_main_text": op8_html_main_text,
+    "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLES = {
