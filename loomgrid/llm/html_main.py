@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.boosting import Trees, boost
 
-PAGES = 500
+PAGES = 800
 SEED = 23
 #: Elements without an end tag, elements that start a block of text, elements whose content isn't text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -298,8 +298,8 @@ class _Writer:
         return "".join(f'<li><a href="/{k}">{self.words(1, 3)}</a></li>' for k in range(n))
 
     def region(self, tag: str, group: int, inner: str) -> str:
-        own = self.any([tag, "div", "section"])
-        return f"<{own}{self.attrs(group, 1.0 if own != tag else 0.6)}>{inner}</{own}>"
+        own = self.any([tag, tag, "div", "section"])
+        return f"<{own}{self.attrs(group, 1.0 if own != tag else 0.4)}>{inner}</{own}>"
 
     def noise(self) -> str:
         kind = self.rng.integers(12)
@@ -344,7 +344,8 @@ class _Writer:
         return f"<div data-main>{text}</div>"
 
     def page(self) -> str:
-        body = [self.paragraph() for _ in range(int(self.rng.integers(0 if self.chance(0.1) else 1, 14)))]
+        most = 14 if self.chance(0.7) else 3
+        body = [self.paragraph() for _ in range(int(self.rng.integers(0 if self.chance(0.1) else 1, most)))]
         for _ in range(int(self.rng.integers(0, 4)) if self.chance(0.6) else 0):
             body.insert(int(self.rng.integers(len(body) + 1)), self.noise())
         if self.chance(0.75):

@@ -57,14 +57,16 @@ def features(text: str) -> list[float]:
 
 @dataclass(frozen=True)
 class Model:
-    """Ranks within the training sample's quantiles as inputs, one hidden layer, one output."""
+    """Ranks within the training sample's quantiles and distances from its means as inputs, one hidden layer, one output."""
 
     cuts: np.ndarray
     layers: tuple[np.ndarray, ...]
+    middle: np.ndarray | float = 0.0
+    spread: np.ndarray | float = 1.0
 
     def inputs(self, rows: np.ndarray) -> np.ndarray:
         ranks = np.stack([np.searchsorted(c, rows[:, k]) for k, c in enumerate(self.cuts)], axis=1) / self.cuts.shape[1]
-        return np.concatenate((2 * ranks - 1, (rows != 0).astype(float)), axis=1)
+        return np.concatenate((2 * ranks - 1, (rows != 0).astype(float), np.clip((rows - self.middle) / self.spread, -6, 6) / 2), axis=1)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         if not len(self.layers):
@@ -88,7 +90,7 @@ def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 5, hidden: int = HIDDEN, epochs: int = EPOCHS) -> Model:
     """A model by Adam on batches of both samples; the mean of the weights of the last half of the steps."""
     both = np.concatenate((positive, unlabelled))
-    model = Model(np.stack([np.quantile(both[:, k], np.linspace(0, 1, 34)[1:-1]) for k in range(both.shape[1])]), ())
+    model = Model(np.stack([np.quantile(both[:, k], np.linspace(0, 1, 34)[1:-1]) for k in range(both.shape[1])]), (), both.mean(0), both.std(0) + 1e-6)
     p, u = model.inputs(positive), model.inputs(unlabelled)
     rng = np.random.default_rng(seed)
     layers = [rng.standard_normal((p.shape[1], hidden)) / np.sqrt(p.shape[1]), np.zeros(hidden), rng.standard_normal(hidden) / np.sqrt(hidden), np.array(math.log(prior / (1 - prior)))]
@@ -113,7 +115,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
         if step > steps // 2:
             taken += 1
             mean = [m + w for m, w in zip(mean, layers)]
-    return Model(model.cuts, tuple(m / taken for m in mean))
+    return Model(model.cuts, tuple(m / taken for m in mean), model.middle, model.spread)
 
 
 def _rows(texts: DataFrame) -> np.ndarray:
