@@ -6,18 +6,18 @@ reads a German number from the beginning of a text and ignores what follows; ``d
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The date patterns in the order in which they are tried, each with and without a time of day, and the last one.
-DATE_PATTERNS = (
-    "dd/MM/yy", "dd.MM.yy", "d/MM/yyyy", "dd/M/yyyy", "d.MM.yyyy", "dd.M.yyyy", "dd/MM/yyyy", "MM/dd/yyyy",
-    "yyyy/MM/dd", "dd-MM-yyyy", "MM-dd-yyyy", "yyyy-MM-dd", "dd.MM.yyyy", "MM.dd.yyyy", "yyyy.MM.dd",
-)
-ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
-_LOOKS_LIKE_DATE = r"^\d{1,4}[./-]\d{1,2}[./-]\d"
+_TIME = r"( \d{2}:\d{2}:\d{2})?\z"
+_YEAR_FIRST = r"^(\d{4})([./-])(\d{2})\2(\d{2})" + _TIME
+_YEAR_LAST = r"^(?:(\d{1,2})([./])(\d{2})\2|(\d{2})([./])(\d)\5|(\d{2})-(\d{2})-)(\d{4})" + _TIME
+_SHORT_YEAR = r"^(\d{2})([./])(\d{2})\2(\d{2})" + _TIME
+_ISO_MILLIS = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z\z"
 CONTINUOUS = r"^-?\d+([.,]\d+)?$"
 EMAIL = r"([a-zA-Z0-9._%+-]+)@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
 URL = r"^(https?://)([^/]+)(/[^?]*)?(\?.*)?$"
@@ -55,9 +55,49 @@ def num(c: Column) -> Column:
 
 
 def dt(c: Column) -> Column:
-    """The timestamp of a text that has one of the fixed patterns; impossible days give null."""
-    patterns = [x for p in DATE_PATTERNS for x in (f"{p} HH:mm:ss", p)] + [ISO_MILLIS]
-    return F.when(c.rlike(_LOOKS_LIKE_DATE), F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in patterns]))
+    """The timestamp of a text of one of these forms, each with or without a time of day; impossible days give null.
+
+    yyyy/MM/dd, yyyy-MM-dd, yyyy.MM.dd; dd/MM/yy and dd.MM.yy in this century; dd/MM/yyyy and dd.MM.yyyy in which
+    one of day and month may have one digit, and dd-MM-yyyy; the same three with the month first, of two digits,
+    where the day can't come first; and yyyy-MM-ddTHH:mm:ss.SSSZ. The shape of a text is tested by one pattern
+    each, and its fields are put into ISO order for a cast.
+    """
+    stamp = lambda x: x.try_cast("timestamp")
+    turned = lambda shape, order: stamp(F.regexp_replace(c, shape, order))
+    day_first = turned(r"^(\d{1,2}).(\d{1,2}).(\d{4})", "$3-$2-$1")
+    month_first = F.when(c.rlike(r"^\d{2}.\d{2}."), turned(r"^(\d{2}).(\d{2}).(\d{4})", "$3-$1-$2"))
+    return (
+        F.when(c.rlike(_YEAR_FIRST), turned(r"^(\d{4}).(\d{2}).(\d{2})", "$1-$2-$3"))
+        .when(c.rlike(_YEAR_LAST), F.coalesce(day_first, month_first))
+        .when(c.rlike(_SHORT_YEAR), turned(r"^(\d{2}).(\d{2}).(\d{2})", "20$3-$2-$1"))
+        .when(c.rlike(_ISO_MILLIS), stamp(c))
+    )
+
+
+def date_of(value: str) -> str | None:
+    """The same for one text, on the driver: its ISO form, or None."""
+    time = re.search(r" (\d{2}):(\d{2}):(\d{2})\Z", value)
+    day, clock = (value[: time.start()], time.groups()) if time else (value, ("00", "00", "00"))
+    found = re.fullmatch(r"(\d{1,4})([./-])(\d{1,2})\2(\d{2}|\d{4})", day, re.A)
+    if re.fullmatch(_ISO_MILLIS[1:-2], value, re.A):
+        tries, clock = [value[:10].split("-")], (value[11:13], value[14:16], value[17:19])
+    elif not found:
+        return None
+    else:
+        a, sep, b, y = found.groups()
+        two = len(a) == len(b) == 2
+        if len(a) == 4:
+            tries = [(a, b, y)] if len(b) == len(y) == 2 else []
+        elif len(y) == 4:
+            tries = [(y, b, a)] + [(y, a, b)] * two if len(a) <= 2 and (two or (sep != "-" and 2 in (len(a), len(b)))) else []
+        else:
+            tries = [(f"20{y}", b, a)] if two and sep != "-" else []
+    for fields in tries:
+        try:
+            return datetime(*map(int, fields), *map(int, clock)).isoformat(sep=" ")
+        except ValueError:
+            continue
+    return None
 
 
 def java_double(c: Column) -> Column:

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.functions.scalars import all_of, any_of, blank, dt, num_de
+from loomgrid.functions.scalars import all_of, any_of, blank, date_of, dt, num_de
 
 _SUFFIX = re.compile(r" \([^()]*\.(?:csv|xlsx)\)$")
 _KINDS = ("categorical", "continuous", "date")
@@ -100,7 +100,8 @@ def _condition(cell: Column, condition: dict) -> Column:
 
 def _compared(cell: Column, value: object, how: str) -> Column:
     """By dates if both sides are dates, else by German numbers; false if neither can be read."""
-    literal = F.lit(_text(value))
     test = {"==": lambda a, b: a == b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}[how]
-    dates = dt(cell).isNotNull() & dt(literal).isNotNull()
-    return F.coalesce(F.when(dates, test(dt(cell), dt(literal))).otherwise(test(num_de(cell), num_de(literal))), F.lit(False))
+    day, numbers = date_of(_text(value)), test(num_de(cell), num_de(F.lit(_text(value))))
+    if day is None:
+        return F.coalesce(numbers, F.lit(False))
+    return F.coalesce(F.when(dt(cell).isNotNull(), test(dt(cell), F.lit(day).cast("timestamp"))).otherwise(numbers), F.lit(False))

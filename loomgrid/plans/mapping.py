@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.functions.scalars import CONTINUOUS, any_of, dt, jtrim, num
+from loomgrid.functions.scalars import CONTINUOUS, any_of, date_of, dt, jtrim, num
 from loomgrid.operators import rows
 from loomgrid.operators.profile import text_cells
 
@@ -116,9 +116,7 @@ def _pair(args: object) -> tuple[Ref, object] | None:
 
 
 def _date_like(value: object) -> bool:
-    import re
-
-    return isinstance(value, str) and re.match(r"^\d{1,4}[./-]\d{1,2}[./-]\d", value) is not None
+    return value is not None and date_of(str(value)) is not None
 
 
 def _number(value: object) -> float | None:
