@@ -28,7 +28,9 @@ CALIBRATED = 0.3
 #: Bytes of each ordinary document that train the ordinary dictionary.
 TAUGHT = 2000
 #: Sizes of (toxic, ordinary) dictionaries that are tried, and the level.
-SIZES = ((128, 8192), (192, 8192), (256, 8192), (384, 8192), (384, 32768), (512, 32768))
+SIZES = ((128, 32768), (192, 32768), (256, 8192), (256, 32768), (384, 32768), (512, 32768))
+#: Occurrences of a segment that count in one document.
+OFTEN = 3
 LEVEL = 3
 VOTES = (2, 3, 4)
 CUT = 0.3
@@ -95,19 +97,21 @@ def voter(ordinary: bytes, toxic: bytes) -> Voter:
     return _VOTERS[ordinary, toxic]
 
 
-def segments(text: str) -> set[bytes]:
-    """What a dictionary may hold of a text: its words and their beginnings of 5 to 12 bytes, each after a space."""
-    found = set()
-    for word in set(text.lower().encode("utf-8", "surrogatepass").split()):
+def segments(text: str) -> dict[bytes, int]:
+    """What a dictionary may hold of a text, and how often the text has it, ``OFTEN`` times at most: its words and their beginnings of 5 to 12 bytes, each after a space."""
+    found: Counter = Counter()
+    for word, n in Counter(text.lower().encode("utf-8", "surrogatepass").split()).items():
         word = b" " + word
-        found.update(word[:n] for n in range(5, min(len(word), 12) + 1))
-        found.add(word[:24])
-    return found
+        for size in range(5, min(len(word), 12) + 1):
+            found[word[:size]] += n
+        if len(word) > 12:
+            found[word[:24]] += n
+    return {k: min(n, OFTEN) for k, n in found.items()}
 
 
 def toxic_content(counts: list[tuple[bytes, int, int]], toxic: int, ordinary: int, size: int) -> bytes:
-    """The ``size`` bytes that pay best: segments by how many more toxic documents hold them, less two standard deviations, than three times the ordinary rate, times the bytes they save. The best come last, where offsets are short."""
-    rated = sorted(((gain * (len(s) - 3), s) for s, a, b in counts if (gain := a - 2 * math.sqrt(a) - 3 * toxic * (b + 0.5) / max(ordinary, 1)) > 0), key=lambda x: (-x[0], x[1]))
+    """The ``size`` bytes that pay best: segments by how much more often toxic documents have them, less two standard deviations, than three times the ordinary rate, times the bytes they save. The best come last, where offsets are short."""
+    rated = sorted(((gain * (len(s) - 3), s) for s, a, b in counts if (gain := a - 2 * math.sqrt(OFTEN * a) - 3 * toxic * (b + 0.5) / max(ordinary, 1)) > 0), key=lambda x: (-x[0], x[1]))
     held, total, joined = [], 0, b""
     for _, segment in rated:
         if segment not in joined:
@@ -166,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc
 
         learning = sample.where(~F.col("calibrates"))
         counted = learning.select("text", "label").mapInArrow(cut, "segment binary, label int, n bigint").groupBy("segment").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
-        gain = F.col("a") - 2 * F.sqrt("a") - F.lit(3 * toxic / ordinary) * (F.col("b") + 0.5)
+        gain = F.col("a") - 2 * F.sqrt(OFTEN * F.col("a")) - F.lit(3 * toxic / ordinary) * (F.col("b") + 0.5)
         best = counted.where(gain > 0).orderBy(F.desc(gain * (F.length("segment") - 3)), "segment").limit(max(t for t, _ in SIZES))
         counts = [(bytes(r["segment"]), r["a"], r["b"]) for r in best.collect()]
         taught = [r["text"] for r in learning.where("label = 0").select(F.substring("text", 1, 2 * TAUGHT).alias("text")).collect()]
