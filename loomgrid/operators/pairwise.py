@@ -108,7 +108,7 @@ def chi_square(counts: DataFrame, categories: DataFrame | None = None) -> DataFr
 
         return pd.Series([math.nan if s is None or s != s or k < 1 else chi_square_tail(s, int(k)) for s, k in zip(statistic, df)], dtype="float64")
 
-    return sums.select(*pair, "statistic", "df", p("statistic", "df").alias("p_value"))
+    return sums.select(*pair, "statistic", "df", F.coalesce(p("statistic", "df"), F.lit(math.nan)).alias("p_value"))  # NaN comes back from pandas as null
 
 
 def chi_square_tail(statistic: float, df: int) -> float:
