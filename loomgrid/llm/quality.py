@@ -126,7 +126,7 @@ def _rows(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], ["row"])
 
     found = [r["row"] for r in texts.select("text").mapInArrow(run, "row array<double>").collect()]
-    return np.array(sorted(found)).reshape(len(found), -1)
+    return np.array(sorted(found)) if found else np.zeros((0, 0))
 
 
 def train(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:

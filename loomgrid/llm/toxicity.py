@@ -110,8 +110,8 @@ def segments(text: str) -> dict[bytes, int]:
 
 
 def toxic_content(counts: list[tuple[bytes, int, int]], toxic: int, ordinary: int, size: int) -> bytes:
-    """The ``size`` bytes that pay best: segments by how much more often toxic documents have them, less two standard deviations, than three times the ordinary rate, times the bytes they save. The best come last, where offsets are short."""
-    rated = sorted(((gain * (len(s) - 3), s) for s, a, b in counts if (gain := a - 2 * math.sqrt(OFTEN * a) - 3 * toxic * (b + 0.5) / max(ordinary, 1)) > 0), key=lambda x: (-x[0], x[1]))
+    """The ``size`` bytes that pay best: segments by how much more often toxic documents have them, less a standard deviation, than three times the ordinary rate, times the bytes they save. The best come last, where offsets are short."""
+    rated = sorted(((gain * (len(s) - 3), s) for s, a, b in counts if (gain := a - math.sqrt(OFTEN * a) - 3 * toxic * (b + 0.5) / max(ordinary, 1)) > 0), key=lambda x: (-x[0], x[1]))
     held, total, joined = [], 0, b""
     for _, segment in rated:
         if segment not in joined:
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc
 
         learning = sample.where(~F.col("calibrates"))
         counted = learning.select("text", "label").mapInArrow(cut, "segment binary, label int, n bigint").groupBy("segment").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
-        gain = F.col("a") - 2 * F.sqrt(OFTEN * F.col("a")) - F.lit(3 * toxic / ordinary) * (F.col("b") + 0.5)
+        gain = F.col("a") - F.sqrt(OFTEN * F.col("a")) - F.lit(3 * toxic / ordinary) * (F.col("b") + 0.5)
         best = counted.where(gain > 0).orderBy(F.desc(gain * (F.length("segment") - 3)), "segment").limit(max(t for t, _ in SIZES))
         counts = [(bytes(r["segment"]), r["a"], r["b"]) for r in best.collect()]
         taught = [r["text"] for r in learning.where("label = 0").select(F.substring("text", 1, 2 * TAUGHT).alias("text")).collect()]
