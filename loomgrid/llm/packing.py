@@ -61,10 +61,12 @@ def pack_histogram(counts: dict[int, int], length: int = LENGTH) -> tuple[dict[i
                     groups[number] = (packs - left, [(s, r + left, o) for s, r, o in runs])
                     packs = left
                 put(-space - size, packs, [*runs, (size, rank, length + space)])
-            else:
-                packs = left
-                put(length - size, packs, [(size, rank, 0)])
-            rank, left = rank + packs, left - packs
+                rank, left = rank + packs, left - packs
+            else:  # a new pack has the most room until it can't take another of this length
+                each = min(left, length // size)
+                packs = left // each
+                put(length - each * size, packs, [(size, rank + k * packs, k * size) for k in range(each)])
+                rank, left = rank + each * packs, left - each * packs
     out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     sequences = 0
     for packs, runs in [*done, *(groups[k] for k in sorted(groups))]:
