@@ -7,7 +7,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgrid.operators.filters import filter_rows
-from loomgrid.operators.profile import profile
+from loomgrid.operators.profile import CATEGORY, DATE, NUMBER, feature_name, profile
 from loomgrid.plans.cleaning import CleaningOptions, clean
 from loomgrid.plans.mapping import clean_for_mapping, harmonize
 from loomgrid.sources import sinks
@@ -36,6 +36,25 @@ def profile_files(spark: SparkSession, paths: list[str], filters: dict[str, dict
     return out
 
 
+def reprofile_file(spark: SparkSession, path: str, feature: str, kind: str) -> dict[str, DataFrame] | str:
+    """The profile of one feature that is forced to be continuous or categorical; a message if it can't be.
+
+    A column of dates stays one when it's forced to be continuous.
+    """
+    from pyspark.sql import functions as F
+
+    table = read_table(spark, path)
+    columns = [c for c in table.columns if c != ROW and feature_name(c) == feature]
+    if not columns:
+        return f"No feature {feature}"
+    if kind == NUMBER and profile(table, ROW, columns, "rows")["types"].where(F.col("kind") == DATE).count():
+        return profile(table, ROW, columns, "rows")
+    out = profile(table, ROW, columns, "rows", {feature: kind})
+    if kind == CATEGORY and not out["omitted"].isEmpty():
+        return "This field cannot be converted to categorical."
+    return out
+
+
 def profile_or_start(spark: SparkSession, jobs: Jobs, paths: list[str]):  # noqa: ANN201
     """The profiles, or the name of a background job if a file is huge."""
     if any(is_huge(spark, p) for p in paths):

@@ -115,14 +115,136 @@ def triples_of(text: str) -> Iterator[tuple[str, str, str, str]]:
             k += 1
 
 
+def triples_of_xml(text: str) -> Iterator[tuple[str, str, str, str]]:
+    """The triples of an RDF/XML text: typed and nested nodes, resource links, literals and attributes as properties."""
+    import xml.etree.ElementTree as ET
+
+    made = 0
+
+    def name(tag: str) -> str:
+        return tag[1:].replace("}", "", 1) if tag.startswith("{") else tag
+
+    def node(e: ET.Element, out: list) -> str:
+        nonlocal made
+        subject = e.get(f"{{{RDF}}}about") or (f"#{e.get(f'{{{RDF}}}ID')}" if e.get(f"{{{RDF}}}ID") else None) or (f"_:{e.get(f'{{{RDF}}}nodeID')}" if e.get(f"{{{RDF}}}nodeID") else None)
+        if subject is None:
+            made += 1
+            subject = f"_:x{made}"
+        if name(e.tag) != f"{RDF}Description":
+            out.append((subject, TYPE, name(e.tag), "uri"))
+        out += [(subject, name(k), v, "literal") for k, v in e.attrib.items() if k.startswith("{") and not k.startswith((f"{{{RDF}}}", "{http://www.w3.org/XML/"))]
+        properties(subject, e, out)
+        return subject
+
+    def properties(subject: str, parent: ET.Element, out: list) -> None:
+        nonlocal made
+        for p in parent:
+            if (link := p.get(f"{{{RDF}}}resource")) is not None:
+                out.append((subject, name(p.tag), link, "uri"))
+            elif (link := p.get(f"{{{RDF}}}nodeID")) is not None:
+                out.append((subject, name(p.tag), f"_:{link}", "blank"))
+            elif p.get(f"{{{RDF}}}parseType") == "Resource":
+                made += 1
+                own = f"_:x{made}"
+                out.append((subject, name(p.tag), own, "blank"))
+                properties(own, p, out)
+            elif len(p):
+                for child in p:
+                    below = node(child, out)
+                    out.append((subject, name(p.tag), below, "blank" if below.startswith("_:") else "uri"))
+            else:
+                out.append((subject, name(p.tag), (p.text or "").strip(), "literal"))
+
+    root, out = ET.fromstring(text), []
+    for e in root if name(root.tag) == f"{RDF}RDF" else [root]:
+        node(e, out)
+    yield from out
+
+
+def triples_of_json(text: str) -> Iterator[tuple[str, str, str, str]]:
+    """The triples of a JSON-LD text with an inline context of prefixes and terms; remote contexts aren't fetched."""
+    import json
+
+    made, out = 0, []
+
+    def full(name: str, context: dict) -> str:
+        term = context.get(name)
+        if isinstance(term, dict):
+            term = term.get("@id")
+        if isinstance(term, str) and term != name:
+            return full(term, context)
+        prefix, found, local = name.partition(":")
+        if found and not local.startswith("//"):
+            space = context.get(prefix, PREFIXES.get(prefix))
+            if isinstance(space, str):
+                return space + local
+        return name if found or name.startswith("@") else str(context.get("@vocab", "")) + name
+
+    def value(subject: str, predicate: str, v: object, context: dict, link: bool) -> None:
+        if isinstance(v, list):
+            for x in v:
+                value(subject, predicate, x, context, link)
+        elif isinstance(v, dict) and "@value" in v:
+            out.append((subject, predicate, _plain(v["@value"]), "literal"))
+        elif isinstance(v, dict) and "@list" in v:
+            value(subject, predicate, v["@list"], context, link)
+        elif isinstance(v, dict):
+            own = node(v, context)
+            out.append((subject, predicate, own, "blank" if own.startswith("_:") else "uri"))
+        elif v is not None:
+            out.append((subject, predicate, full(v, context) if link else _plain(v), "uri" if link else "literal"))
+
+    def node(item: dict, context: dict) -> str:
+        nonlocal made
+        if isinstance(own := item.get("@context"), (dict, list)):
+            for part in own if isinstance(own, list) else [own]:
+                context = context | (part if isinstance(part, dict) else {})
+        subject = item.get("@id")
+        if subject is None:
+            made += 1
+            subject = f"_:j{made}"
+        subject = full(subject, context)
+        kinds = item.get("@type", [])
+        out.extend((subject, TYPE, full(k, context), "uri") for k in (kinds if isinstance(kinds, list) else [kinds]))
+        for k, v in item.items():
+            if not k.startswith("@"):
+                term = context.get(k)
+                value(subject, full(k, context), v, context, isinstance(term, dict) and term.get("@type") == "@id")
+        for x in item.get("@graph", []):
+            node(x, context)
+        return subject
+
+    data = json.loads(text)
+    for item in data if isinstance(data, list) else [data]:
+        node(item, {})
+    yield from (t for t in out)
+
+
+def _plain(v: object) -> str:
+    return str(v).lower() if isinstance(v, bool) else str(v)
+
+
+def triples_of_file(name: str, text: str) -> list[tuple[str, str, str, str]]:
+    """The triples of a file: its extension's syntax first, then Turtle (which N-Triples is part of), JSON-LD, RDF/XML."""
+    by = {"jsonld": triples_of_json, "json": triples_of_json, "rdf": triples_of_xml, "xml": triples_of_xml, "owl": triples_of_xml}
+    first = by.get(name.rsplit(".", 1)[-1].lower(), triples_of)
+    error: Exception | None = None
+    for syntax in dict.fromkeys([first, triples_of, triples_of_json, triples_of_xml]):
+        try:
+            return list(syntax(text))
+        except Exception as e:
+            error = error or e
+    raise ValueError(f"{name} can't be read as metadata: {error}")
+
+
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """(file, s, p, o, kind): the triples of Turtle and N-Triples files, a file to a task."""
+    """(file, s, p, o, kind): the triples of Turtle, N-Triples, JSON-LD and RDF/XML files, a file to a task."""
 
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(f, *t) for f, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in triples_of(text or "")]
+            rows = [(f, *t) for f, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in triples_of_file(f, text or "")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 5)], ["file", "s", "p", "o", "kind"])
 
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(run, "file string, s string, p string, o string, kind string")

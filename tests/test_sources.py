@@ -169,3 +169,23 @@ def test_jobs(spark):
     assert jobs.cancel(slow) and jobs.status(slow).state == CANCELED and jobs.cancel("unknown")
     with pytest.raises(Gone):
         jobs.result(slow)
+
+
+def test_other_syntaxes():
+    xml = f'<rdf:RDF xmlns:rdf="{metadata.RDF}" xmlns:dct="{metadata.DCT}" xmlns:dcat="{metadata.DCAT}"><dcat:Dataset rdf:about="http://x/d"><dct:title>T</dct:title><dcat:distribution rdf:resource="http://x/s"/><dct:publisher><rdf:Description><dct:title>P</dct:title></rdf:Description></dct:publisher></dcat:Dataset></rdf:RDF>'
+    found = metadata.triples_of_file("m.rdf", xml)
+    assert ("http://x/d", metadata.TYPE, f"{metadata.DCAT}Dataset", "uri") in found and ("http://x/d", f"{metadata.DCT}title", "T", "literal") in found
+    assert any(t[1] == f"{metadata.DCT}publisher" and t[3] == "blank" for t in found)
+    json = '{"@context": {"dcat": "http://www.w3.org/ns/dcat#", "title": "http://purl.org/dc/terms/title", "part": {"@id": "dcat:distribution", "@type": "@id"}}, "@graph": [{"@id": "http://x/d", "@type": "dcat:Dataset", "title": ["a", {"@value": true}], "part": "http://x/s"}]}'
+    found = metadata.triples_of_file("unknown.txt", json)
+    assert {t[2] for t in found if t[0] == "http://x/d"} == {f"{metadata.DCAT}Dataset", "a", "true", "http://x/s"}
+    assert metadata.triples_of_file("n.nt", '<http://a> <http://b> "c"@en .\n_:x <http://b> <http://d> .')[1] == ("_:x", "http://b", "http://d", "uri")
+    with pytest.raises(ValueError):
+        metadata.triples_of_file("m.ttl", "<<<")
+
+
+def test_forced_features(spark, tmp_path):
+    path = put(tmp_path / "r.csv", "d,t,u\n" + "".join(f"2020-01-{k + 1:02},x,u{k}\n" for k in range(12)))
+    assert "dates" in api.reprofile_file(spark, path, "d", "continuous") and "categories" in api.reprofile_file(spark, path, "t", "categorical")
+    assert api.reprofile_file(spark, path, "u", "categorical") == "This field cannot be converted to categorical."
+    assert api.reprofile_file(spark, path, "none", "categorical") == "No feature none"
