@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -36,7 +37,6 @@ COUNTED = 400_000
 # Unicode White_Space, as the tokenizers' \s has it; Python's \s has four more characters.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BYTE_CHUNKS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_SPACES = {9: " ", 10: " ", 13: " "}
 _LATIN = "a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _PLAIN = re.compile(f"[ !-~{_LATIN}]+")
 # The two tokenizers' own patterns, over ASCII and Latin-1 letters.
@@ -79,9 +79,9 @@ class _Cache(dict):
 
 
 class Lookup:
-    """What ``digest`` makes of the ids of each chunk of a text: their number, or their bytes."""
+    """What ``digest`` makes of the ids of each chunk of a text: their number, or their bytes; ``joined`` adds up several."""
 
-    def __init__(self, name: str, digest: Callable[[list[int]], object], cached: int = CACHED):
+    def __init__(self, name: str, digest: Callable[[list[int]], object], joined: Callable[[Iterable], object], cached: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,7 +91,7 @@ class Lookup:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.digest = self.tokenizer.model, digest
+        self.model, self.digest, self.joined = self.tokenizer.model, digest, joined
         self.special = [x["content"] for x in config["added_tokens"]]
         pre = config["pre_tokenizer"]
         words = config["model"].get("end_of_word_suffix") == "</w>"
@@ -102,23 +102,22 @@ class Lookup:
         self.chunks = _Cache(self._chunk, cached)
         self.frequent: dict = {}
 
-    def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+    def _piece(self, piece: str) -> object:
+        if not piece.isascii() or " " in piece:
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return self.digest([t.id for t in self.model.tokenize(piece)])
 
     def _chunk(self, chunk: str) -> object:
         if not _PLAIN.fullmatch(chunk):
             return self.digest(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         found = _WORD_PIECES.findall(chunk.lower()) if self.words else _BYTE_PIECES.findall(chunk)
-        ids: list[int] = []
-        for piece in found:
-            ids += self.pieces[piece]
-        return self.digest(ids)
+        return self.pieces[found[0]] if len(found) == 1 else self.joined(map(self.pieces.__getitem__, found))
 
     def cut(self, text: str) -> list[str] | None:
         """The chunks of ``text``, or None if it must go to the library as a whole."""
         if not self.exact or any(s in text for s in self.special):
             return None
-        return text.translate(_SPACES).split(" ") if self.words else _BYTE_CHUNKS.findall(text)
+        return text.replace("\n", " ").split(" ") if self.words else _BYTE_CHUNKS.findall(text)
 
     def each(self, text: str) -> Iterable[object]:
         chunks = self.cut(text)
@@ -136,7 +135,7 @@ _LOOKUPS: dict[tuple, Lookup] = {}
 def lookup(name: str, kind: str) -> Lookup:
     """The worker's own lookup, which lives as long as the worker. kind: count or bytes."""
     if (name, kind) not in _LOOKUPS:
-        _LOOKUPS[name, kind] = Lookup(name, len if kind == "count" else lambda ids: b"".join(i.to_bytes(4, "little") for i in ids))
+        _LOOKUPS[name, kind] = Lookup(name, len, sum) if kind == "count" else Lookup(name, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
     return _LOOKUPS[name, kind]
 
 
