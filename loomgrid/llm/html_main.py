@@ -11,7 +11,9 @@ of page layouts with many namings, in which it knows the main text.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from loomgrid.llm.boosting import Trees, boost
 
 PAGES = 800
+#: Pages whose elements are judged together.
+TOGETHER = 128
 SEED = 23
 #: Elements without an end tag, elements that start a block of text, elements whose content isn't text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -135,82 +139,100 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
-def _measure(nodes: list[Node]) -> dict[int, np.ndarray]:
+def _measure(nodes: list[Node]) -> dict[int, list[float]]:
     """For each element: characters, words, characters in links, elements, blocks, sentence ends, list items, commas."""
-    found: dict[int, np.ndarray] = {}
-    known = {id(n) for n in nodes}
+    found: dict[int, list[float]] = {}
     for node in reversed(nodes):
-        total, stack = np.zeros(8), [(x, False) for x in node.parts]
-        total[4] = 1
+        chars = words = linked = elements = ends = items = commas = 0
+        blocks, stack = 1, [(x, False) for x in node.parts]
         while stack:
-            part, linked = stack.pop()
+            part, in_link = stack.pop()
             if isinstance(part, str):
-                words = part.split()
-                size = sum(map(len, words))
-                total += (size, len(words), size * linked, 0, 0, part.count(". ") + part.count(".") , 0, part.count(","))
+                own = part.split()
+                size = sum(map(len, own))
+                chars += size
+                words += len(own)
+                linked += size * in_link
+                ends += part.count(". ") + part.count(".")
+                commas += part.count(",")
             elif part.hidden:
-                total[3] += 1
-            elif id(part) in known:
-                own = found[id(part)].copy()
-                if linked:
-                    own[2] = own[0]
-                total += own
-                total[3] += 1
-                total[6] += part.tag == "li"
+                elements += 1
+            elif (below := found.get(id(part))) is not None:
+                chars += below[0]
+                words += below[1]
+                linked += below[0] if in_link else below[2]
+                elements += below[3] + 1
+                blocks += below[4]
+                ends += below[5]
+                items += below[6] + (part.tag == "li")
+                commas += below[7]
             else:
-                total[3] += 1
-                stack.extend((x, linked or part.tag == "a") for x in part.parts)
-        found[id(node)] = total
+                elements += 1
+                stack.extend((x, in_link or part.tag == "a") for x in part.parts)
+        found[id(node)] = [chars, words, linked, elements, blocks, ends, items, commas]
     return found
 
 
-def _groups(node: Node) -> np.ndarray:
-    words = set(_TOKEN.findall(_CAMEL.sub(r"\1 \2", node.marks).lower()))
-    if node.tag in ("nav", "header", "footer", "aside", "article", "main", "form"):
-        words.add(node.tag)
-    return np.array([bool(words & g) for g in _GROUPS], float)
+_ABOVE = ("nav", "header", "footer", "aside", "article", "main", "form", "li", "table")
+_NAMED = frozenset(_ABOVE[:7])
+_TAG_ROWS = {t: [float(t == x) for x in _TAGS] for t in _TAGS}
+_NO_TAG = [0.0] * len(_TAGS)
 
 
-def node_features(nodes: list[Node]) -> np.ndarray:
+@lru_cache(maxsize=65_536)
+def _groups(tag: str, marks: str) -> tuple[float, ...]:
+    words = set(_TOKEN.findall(_CAMEL.sub(r"\1 \2", marks).lower()))
+    if tag:
+        words.add(tag)
+    return tuple(float(bool(words & g)) for g in _GROUPS)
+
+
+def node_rows(nodes: list[Node]) -> list[list[float]]:
+    """The features of the elements of a page, a row for each."""
     measured, place = _measure(nodes), {id(n): k for k, n in enumerate(nodes)}
-    page = measured[id(nodes[0])]
-    groups = [_groups(n) for n in nodes]
-    above = [np.zeros(len(_GROUPS)) for _ in nodes]
-    tags_above = [frozenset() for _ in nodes]
+    page = max(measured[id(nodes[0])][0], 1)
+    log = math.log1p
+    groups = [_groups(n.tag if n.tag in _NAMED else "", n.marks) for n in nodes]
+    sizes = [measured[id(n)] for n in nodes]
+    above: list[tuple[float, ...]] = [(0.0,) * len(_GROUPS)] * len(nodes)
+    tags: list[tuple[float, ...]] = [(0.0,) * len(_ABOVE)] * len(nodes)
     children: dict[int, list[int]] = {}
-    rows = []
     for k, node in enumerate(nodes):
         up = node.parent
         while up is not None and id(up) not in place:
             up = up.parent
         if up is not None:
             p = place[id(up)]
-            above[k] = np.maximum(above[p], groups[p])
-            tags_above[k] = tags_above[p] | {up.tag}
+            above[k] = tuple(map(max, above[p], groups[p]))
+            tags[k] = tuple(1.0 if t == up.tag else old for t, old in zip(_ABOVE, tags[p])) if up.tag in _ABOVE else tags[p]
             children.setdefault(p, []).append(k)
-    side = {k: (i, own) for own in children.values() for i, k in enumerate(own)}
-    for k, node in enumerate(nodes):
-        m = measured[id(node)]
-        i, own = side.get(k, (0, [k]))
-        near = [measured[id(nodes[own[j]])] if 0 <= j < len(own) else np.zeros(8) for j in (i - 1, i + 1)]
-        alike = sum(nodes[j].tag == node.tag for j in own)
-        most = max(measured[id(nodes[j])][0] for j in own)
-        rows.append(np.concatenate((
-            [node.tag == t for t in _TAGS],
-            groups[k], above[k],
-            [t in tags_above[k] for t in ("nav", "header", "footer", "aside", "article", "main", "form", "li", "table")],
-            [node.depth, np.log1p(m[0]), np.log1p(m[1]), m[2] / max(m[0], 1), m[0] / (m[3] + 1), np.log1p(m[4]), m[5] / max(m[1], 1), m[6], m[7] / max(m[1], 1), m[0] / max(m[1], 1), m[0] / max(page[0], 1)],
-            [i, len(own), i / len(own), alike / len(own), m[0] / max(most, 1), k / len(nodes)],
-            [v for n in near for v in (np.log1p(n[0]), n[2] / max(n[0], 1))],
-        )))
-    return np.array(rows, float)
+    rows: list[list[float]] = [[]] * len(nodes)
+    none = [0.0] * 8
+    for own in [[0], *children.values()]:
+        most, n = max(max(sizes[k][0] for k in own), 1), len(own)
+        alike = Counter(nodes[k].tag for k in own)
+        for i, k in enumerate(own):
+            node, m = nodes[k], sizes[k]
+            a, b = sizes[own[i - 1]] if i else none, sizes[own[i + 1]] if i + 1 < n else none
+            chars, words = max(m[0], 1), max(m[1], 1)
+            rows[k] = [
+                *_TAG_ROWS.get(node.tag, _NO_TAG), *groups[k], *above[k], *tags[k],
+                node.depth, log(m[0]), log(m[1]), m[2] / chars, m[0] / (m[3] + 1), log(m[4]), m[5] / words, m[6], m[7] / words, m[0] / words, m[0] / page,
+                i, n, i / n, alike[node.tag] / n, m[0] / most, k / len(nodes),
+                log(a[0]), a[2] / max(a[0], 1), log(b[0]), b[2] / max(b[0], 1),
+            ]
+    return rows
+
+
+def node_features(nodes: list[Node]) -> np.ndarray:
+    return np.array(node_rows(nodes), float)
 
 
 def decode(nodes: list[Node], p: np.ndarray) -> list[bool]:
     """The most likely choice in which every kept element has a kept parent; the root may always be kept."""
     place = {id(n): k for k, n in enumerate(nodes)}
     p = np.clip(p, 1e-6, 1 - 1e-6)
-    drop, keep, parent = np.log(1 - p), np.log(p), np.full(len(nodes), -1)
+    drop, keep, parent = np.log(1 - p).tolist(), np.log(p).tolist(), [-1] * len(nodes)
     keep[0] = 0.0
     for k in range(len(nodes) - 1, 0, -1):
         up = nodes[k].parent
@@ -221,7 +243,7 @@ def decode(nodes: list[Node], p: np.ndarray) -> list[bool]:
         keep[parent[k]] += max(keep[k], drop[k])
     out = [True] * len(nodes)
     for k in range(1, len(nodes)):
-        out[k] = bool(out[parent[k]] and keep[k] > drop[k])
+        out[k] = out[parent[k]] and keep[k] > drop[k]
     return out
 
 
@@ -256,12 +278,22 @@ def blocks_of(root: Node, kept: set[int]) -> list[str]:
     return out
 
 
+def main_texts(pages: list[str | None], trees: Trees) -> list[str]:
+    """The main text of each page; the trees judge the elements of all pages at once."""
+    parsed = [nodes_of(parse(html or "")) for html in pages]
+    if not parsed:
+        return []
+    p = trees.probability(np.array([row for nodes in parsed for row in node_rows(nodes)], float))
+    out, at = [], 0
+    for nodes in parsed:
+        choice = decode(nodes, p[at : at + len(nodes)])
+        at += len(nodes)
+        out.append("\n".join(blocks_of(nodes[0], {id(n) for n, good in zip(nodes, choice) if good})))
+    return out
+
+
 def main_text(html: str | None, trees: Trees) -> str:
-    root = parse(html or "")
-    nodes = nodes_of(root)
-    choice = decode(nodes, trees.probability(node_features(nodes)))
-    # text that stands right under a root that holds other regions is no article
-    return "\n".join(blocks_of(root, {id(n) for n, good in zip(nodes, choice) if good}))
+    return main_texts([html], trees)[0]
 
 
 # The pages to learn from.
@@ -408,7 +440,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(html, known.value) for html in batch.column(2).to_pylist()]
+            pages = batch.column(2).to_pylist()
+            texts = [t for at in range(0, len(pages), TOGETHER) for t in main_texts(pages[at : at + TOGETHER], known.value)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
