@@ -121,12 +121,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         runs_of = table.value
         for batch in batches:
             sequence, offset = [], []
-            for size, rank in zip(batch.column("length").to_pylist(), batch.column("rank").to_pylist()):
+            for size, rank in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist()):
                 first, start, at = runs_of[size]
                 k = bisect_right(first, rank) - 1
                 sequence.append(start[k] + rank - first[k])
                 offset.append(at[k])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*batch.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = pieces.join(starts, ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("place")).alias("rank"))
+    # starts has a row for each task and length, so it grows with the input and isn't broadcast
+    ranked = pieces.join(starts.hint("merge"), ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("place")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
