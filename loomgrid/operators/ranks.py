@@ -8,21 +8,42 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage: written to the shared checkpoint folder if the session has one, else to a local one."""
-    spark = df.sparkSession
+#: Where scratch tables go when the session names no spark.checkpoint.dir (tests on one machine).
+LOCAL_SCRATCH = "/tmp/checkpoints/loomgrid"
+_MADE: list[str] = []
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names in spark.checkpoint.dir; a local one only where it names none."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/loomgrid")
-    path = f"{context.getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH)
+    return context.getCheckpointDir().get()
+
+
+def scratch(df: DataFrame, label: str = "rows") -> DataFrame:
+    """``df`` as a table in the shared scratch folder: its lineage is cut, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the scratch tables made so far, once the results that read them have been written; says how many."""
+    conf, place = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    done = 0
+    while _MADE:
+        path = place(_MADE.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def _partitioned(df: DataFrame, order: list) -> DataFrame:  # noqa: ANN001
     """Sorted rows with their partition and their place in it, written once so that both stay what they are."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)

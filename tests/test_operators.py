@@ -193,3 +193,8 @@ def test_filters(spark):
         one(["1"], {"operator": "AND", "conditions": {"c": 123}})
     with pytest.raises(FilterError):
         one(["1"], {"operator": "AND", "conditions": {"c": chain({"type": "equal", "value": 1})}})
+
+
+def test_scratch_tables_can_be_released(spark):
+    df = ranks.scratch(spark.range(5))
+    assert df.count() == 5 and ranks.release(spark) >= 1 and ranks.release(spark) == 0
