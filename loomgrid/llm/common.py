@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.operators.ranks import scratch
+
 #: Internal columns start with this, so that columns of the input can have any other name.
 OWN = "__lg_"
 #: Rows of a side that may be broadcast after they were counted.
 BROADCAST_ROWS = 200_000
-#: Where scratch tables go when the session names no spark.checkpoint.dir (tests on one machine).
-LOCAL_SCRATCH = "/tmp/checkpoints/loomgrid"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names in spark.checkpoint.dir; a local one only where it names none."""
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH)
-    return context.getCheckpointDir().get()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared scratch folder: its lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared scratch folder; ``loomgrid.operators.ranks.release`` deletes such tables."""
+    return scratch(df, label)
 
 
 def rest_of(docs: DataFrame, *taken: str) -> list[Column]:
