@@ -264,6 +264,7 @@ def harmonize(df: DataFrame, spec: dict, file: str, semantics: str = "reference"
     table = text_cells(df)
     standard: dict[str, list[tuple[str, list]]] = {}
     hot: dict[str, Column] = {}
+    targets: dict[str, None] = {}  # in the order of the spec
     for mapping in spec.get("mappings") or []:
         if mapping is None:
             continue
@@ -273,12 +274,16 @@ def harmonize(df: DataFrame, spec: dict, file: str, semantics: str = "reference"
                 found = matchers((output or {}).get("logic"), semantics)
                 if output and _mentions(found, file):
                     usable = [m for m in found if _applies(m, file, allowed)]
-                    hot[str(output.get("targetField") or "")] = F.when(any_of([predicate(m, table.columns)[0] for m in usable]), "1").otherwise("0")
+                    target = str(output.get("targetField") or "")
+                    targets.setdefault(target)
+                    hot[target] = F.when(any_of([predicate(m, table.columns)[0] for m in usable]), "1").otherwise("0")
             continue
         rules = _rules(mapping, semantics)
         if _file_of_definition(mapping) == file or any(_mentions(found, file) for _, found in rules):
-            standard[str(mapping.get("targetField") or "")] = [(value, [m for m in found if _applies(m, file, None)]) for value, found in rules]
-    made = []
+            target = str(mapping.get("targetField") or "")
+            targets.setdefault(target)
+            standard[target] = [(value, [m for m in found if _applies(m, file, None)]) for value, found in rules]
+    made: dict[str, Column] = dict(hot)
     for target, rules in standard.items():
         if target in hot:
             continue
@@ -289,9 +294,8 @@ def harmonize(df: DataFrame, spec: dict, file: str, semantics: str = "reference"
                 chosen = source if source is not None else F.lit(result)
                 value = F.when(holds, chosen) if value is None else value.when(holds, chosen)
         same = F.coalesce(F.col(f"`{target}`"), F.lit("")) if target in table.columns else F.lit("")
-        made.append((target, same if value is None else value.otherwise(same)))
-    made += list(hot.items())
-    return table.select(*[c.alias(t) for t, c in made])
+        made[target] = same if value is None else value.otherwise(same)
+    return table.select(*[made[t].alias(t) for t in targets])
 
 
 def clean_for_mapping(df: DataFrame, order: str | None = None, empty: bool = False, duplicates: bool = False) -> DataFrame:
