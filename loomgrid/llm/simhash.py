@@ -187,7 +187,9 @@ def _links(fps: DataFrame, block: int, most: int) -> DataFrame:
             a, b = bucket_links(group, side, fp, most)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    rows = fps.select("fp").mapInArrow(keyed, "key int, fp bigint")
+    # each fingerprint becomes some sixty rows, so the small table is dealt out before it grows
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.select("fp").repartition(parts, "fp").mapInArrow(keyed, "key int, fp bigint")
     hot = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "hot-keys")
     if hot.isEmpty():
         return rows.repartition("key").mapInArrow(compared, "a bigint, b bigint")

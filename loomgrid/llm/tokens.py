@@ -30,7 +30,7 @@ WORD_BPE = "word_bpe_49k.json"
 #: Chunks that a task's summary holds, that the broadcast table holds, and that a worker's cache holds in each of two generations.
 SUMMARY = 2_048
 FREQUENT = 65_536
-CACHED = 250_000
+CACHED = 120_000
 #: Distinct chunks that a task counts before it halves its counts.
 COUNTED = 400_000
 

@@ -34,7 +34,7 @@ OFTEN = 3
 LEVEL = 3
 VOTES = (2, 3, 4)
 CUT = 0.3
-CACHED = 400_000
+CACHED = 150_000
 _HEAD, _TAIL = b"\n" * 32, b"\n" * 16
 #: Fixed value: the three start offsets that end the header of a trained dictionary.
 _HEADER_END = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
