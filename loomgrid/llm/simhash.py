@@ -61,14 +61,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row; fp holds the 64 bits as a signed number."""
+    """(uid, doc_id, fp) of each row; uid numbers the rows as they are read, fp holds the 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["uid", "doc_id", "fp"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, "uid bigint, doc_id bigint, fp bigint")
 
 
 def _golay_errors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,6 +223,20 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, block: int, most_bits: int) -> DataFrame:
+    """(uid, doc_id, fp, component_id, first_uid) of each row of ``docs``; first_uid is the least uid of the component."""
+    if not 0 <= most_bits <= MOST_BITS:
+        raise ValueError(f"the keys are complete for at most {MOST_BITS} differing bits")
+    rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("uid").alias("first")), "distinct-fingerprints")
+    joined = materialize(components(_links(distinct, block, most_bits)), "components")
+    rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first_uid"))
+    labels = materialize(rooted.join(named, "root").select("fp", "component_id", "first_uid"), "labels")
+    return rows.join(labels, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of ``docs``.
 
@@ -229,25 +244,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as larger than all others. Null and empty texts have fingerprint zero and link like any other. Repeated rows
     are one component and give a row each. An empty table gives no rows. Other columns aren't read.
     """
-    if not 0 <= most_bits <= MOST_BITS:
-        raise ValueError(f"the keys are complete for at most {MOST_BITS} differing bits")
-    rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    joined = materialize(components(_links(distinct, block, most_bits)), "components")
-    rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = materialize(rooted.join(named, "root").select("fp", "component_id"), "labels")
-    return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _labelled(docs, id_col, text_col, block, most_bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most_bits: int = MOST_BITS) -> DataFrame:
     """One row of ``docs`` for each component, the one with the smallest id, with all columns.
 
-    Rows that repeat that id are kept with it: they can't be told apart by their id.
+    Rows of the component that repeat that id are kept with it. Of a component of null ids only, the first row
+    that is read stays. What a row's id does in other components doesn't matter.
+
+    ``docs`` is read a second time, so it must be a table whose rows come in the same order each time, such
+    as a Parquet folder. The numbers of the dropped rows are broadcast if there are few of them.
     """
-    own = "__lg_drop"
-    groups = near_duplicates(docs, id_col, text_col, block, most_bits)
-    dropped = materialize(groups.where("doc_id > component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias(own)).distinct(), "dropped")
-    kept = docs.join(small_or_not(dropped, 2_000_000), F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(own)), "left_anti")
-    return kept.select(*rest_of(docs))
+    own = "__lg_uid"
+    groups = _labelled(docs, id_col, text_col, block, most_bits)
+    gone = "doc_id > component_id or (doc_id is null and component_id is not null) or (component_id is null and uid != first_uid)"
+    dropped = materialize(groups.where(gone).select(F.col("uid").alias(own)), "dropped")
+    return docs.withColumn(own, F.monotonically_increasing_id()).join(small_or_not(dropped, 2_000_000), own, "left_anti").select(*rest_of(docs, own))

@@ -165,6 +165,15 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_dedup_drops_rows_not_ids(spark):
+    texts = ["".join(f"{t}{k} " for k in range(60)) for t in "abcd"]
+    rows = [(2, texts[0], "s"), (5, texts[0], "s"), (None, texts[0], "s"), (5, texts[1], "s"), (8, texts[1], "s"), (None, texts[2], "s"), (None, texts[3], "s"), (None, texts[3], "s")]
+    for df in (documents(spark, rows, "uid"), documents(spark, rows).repartition(3).localCheckpoint()):
+        kept = simhash.near_dedup(df)
+        assert kept.columns == df.columns
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("2", texts[0]), ("5", texts[1]), ("None", texts[2]), ("None", texts[3])])
+
+
 def test_units():
     text = "a b c d e\n short \nOne two three four five six seven eight. Nine ten eleven twelve thirteen fourteen fifteen sixteen."
     found = list(substring_dedup.units(text))
