@@ -91,7 +91,7 @@ class _Builder(HTMLParser):
                 break
             node = node.parent
         marks = " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label"))
-        new = Node(tag, marks, self.at, min(self.at.depth + 1, 200))
+        new = Node(tag, marks, self.at, min(self.at.depth + (tag in BLOCKS), 200))
         new.hidden = tag in OPAQUE or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
         self.at.parts.append(new)
         if tag not in VOID:
@@ -130,12 +130,13 @@ def parse(html: str) -> Node:
 
 
 def nodes_of(root: Node) -> list[Node]:
-    """Elements that can hold text, each after its parent, in page order; inline elements count with their block, but links and spans stand for themselves."""
+    """The block elements that aren't hidden, each after its parent, in page order; inline and unknown elements count with the block around them, and blocks within them stand for themselves."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
-        out.append(node)
-        stack.extend(x for x in reversed(node.parts) if isinstance(x, Node) and not x.hidden and (x.tag in BLOCKS))
+        if node.tag in BLOCKS:
+            out.append(node)
+        stack.extend(x for x in reversed(node.parts) if isinstance(x, Node) and not x.hidden)
     return out
 
 

@@ -89,6 +89,16 @@ def test_main_text(trees):
         assert isinstance(html_main.main_text(odd, trees), str)
 
 
+STORY = ("The first sentence of the story has several words in it, and some more of them.", "A second sentence follows the first, as it should, with several further words.")
+
+
+@pytest.mark.parametrize("html", ["<article><a href=/x><h2>Title of it</h2></a><p>{}</p><p>{}</p></article>", "<app-root><main><h2>Title of it</h2><p>{}</p><p>{}</p></main></app-root>", "<article><b>Title of it<p>{}</p><p>{}</p></article>", "<article><span><font><h2>Title of it</h2><div><p>{}</p></div></font></span><p>{}</p></article>"])
+def test_blocks_within_inline_elements(trees, html):
+    assert html_main.main_text(f"<body>{html.format(*STORY)}</body>", trees) == "\n".join(("Title of it", *STORY))
+    nodes = html_main.nodes_of(html_main.parse("<div><i>a<x-y><p>b</p></x-y></i><script><p>c</p></script></div><p>d"))
+    assert [(n.tag, n.depth) for n in nodes] == [("html", 0), ("div", 1), ("p", 2), ("p", 1)]
+
+
 def test_choices_are_hierarchical(trees):
     for html in html_main.written_pages(40, seed=99):
         nodes = html_main.nodes_of(html_main.parse(html))
