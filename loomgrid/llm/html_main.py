@@ -115,17 +115,20 @@ class _Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.parts.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """The end of what starts with <![ at ``i``: for all but CDATA, the next >, as in browsers; HTMLParser refuses some of it."""
+        if self.rawdata[i : i + 9].upper() == "<![CDATA[":
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, report)
+
     def unknown_decl(self, data: str) -> None:
         pass
 
 
 def parse(html: str) -> Node:
     builder = _Builder()
-    try:
-        builder.feed(html)
-        builder.close()
-    except AssertionError:  # malformed declarations: what was read so far stands
-        pass
+    builder.feed(html)
+    builder.close()
     return builder.root
 
 

@@ -99,6 +99,12 @@ def test_blocks_within_inline_elements(trees, html):
     assert [(n.tag, n.depth) for n in nodes] == [("html", 0), ("div", 1), ("p", 2), ("p", 1)]
 
 
+@pytest.mark.parametrize("odd", ["<![x y]>", "<![ endif]-->", "<![-- x -->", "<![>", "<![if !IE]>", "<![endif]>", "<![if x>", "<![CDATA[ x ]]>", "<!x [ y>", "<!>"])
+def test_text_after_a_declaration(trees, odd):
+    text = html_main.main_text(f"<body><article><p>{STORY[0]}</p>{odd}<p>{STORY[1]}</p></article><p><![endif]></body>", trees)
+    assert STORY[0] in text and STORY[1] in text
+
+
 def test_choices_are_hierarchical(trees):
     for html in html_main.written_pages(40, seed=99):
         nodes = html_main.nodes_of(html_main.parse(html))
