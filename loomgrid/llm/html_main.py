@@ -34,6 +34,8 @@ SEED = 23
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 OPAQUE = frozenset("script style noscript template iframe object svg canvas video audio head title select textarea button option datalist math".split())
+#: Fixed value: what an open head may hold; anything else ends it.
+HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
 #: An open element that ends when one of these starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"}, "p": BLOCKS}
 _SCOPES = frozenset("ul ol dl table td th article section main aside nav div body header footer blockquote form".split())
@@ -81,6 +83,10 @@ class _Builder(HTMLParser):
             self.root.marks += " " + " ".join(given.get(k, "") for k in ("class", "id"))
             if tag == "html":
                 return
+        if self.at.tag == "head" and tag not in HEAD:
+            self.at = self.at.parent
+        elif tag == "body":
+            self._end_head()
         node = self.at
         while node.parent is not None:
             if tag in ENDS.get(node.tag, ()):
@@ -112,7 +118,17 @@ class _Builder(HTMLParser):
                 return
             node = node.parent
 
+    def _end_head(self) -> None:
+        """Ends an open head with all that is open in it."""
+        node = self.at
+        while node is not None and node.tag != "head":
+            node = node.parent
+        if node is not None:
+            self.at = node.parent
+
     def handle_data(self, data: str) -> None:
+        if self.at.tag == "head" and data.strip():
+            self.at = self.at.parent
         self.at.parts.append(data)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:

@@ -105,6 +105,12 @@ def test_text_after_a_declaration(trees, odd):
     assert STORY[0] in text and STORY[1] in text
 
 
+@pytest.mark.parametrize("start", ["<title>T</title><body>", "<title>T</title><meta name=x>", "<noscript><p>x<body>", "<script>var t;</script><style>p{}</style>\n", "<title>T</title></head><body>", "<title>T</title></head><body><head>"])
+def test_head_without_end_tag(trees, start):
+    assert html_main.main_text(f"<html><head>{start}<article><p>{STORY[0]}</p><p>{STORY[1]}</p></article>", trees) == "\n".join(STORY)
+    assert "".join(p for p in html_main.parse("<head><title>T</title> \nplain <b>words</b>").parts if isinstance(p, str)).strip() == "plain"
+
+
 def test_choices_are_hierarchical(trees):
     for html in html_main.written_pages(40, seed=99):
         nodes = html_main.nodes_of(html_main.parse(html))
