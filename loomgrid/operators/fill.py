@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.functions.scalars import blank, java_double, num
-from loomgrid.operators.ranks import neighbours, numbered
+from loomgrid.operators.ranks import neighbours
 from loomgrid.operators.selection import medians
 
 STRATEGIES = ("constant", "mean", "median", "mode", "forward", "backward", "interpolate")
@@ -67,9 +67,8 @@ def _modes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def interpolate(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """Blank cells on the line, by row number, between the nearest numbers on both sides; unchanged without one of them."""
-    rows = numbered(df, [order], "__row")
     values = {f"v{k}": F.when(num(_known(c)).isNotNull(), F.struct(F.col("__row").alias("r"), num(_known(c)).alias("x"))) for k, c in enumerate(columns)}
-    near = neighbours(rows, ["__row"], values)
+    near = neighbours(df, [order], values, row="__row")
     made = {}
     for k, c in enumerate(columns):
         a, b = F.col(f"prev_v{k}"), F.col(f"next_v{k}")

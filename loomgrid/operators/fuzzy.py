@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.scalars import blank, jtrim
@@ -137,9 +137,10 @@ def merge_similar_values(df: DataFrame, columns: list[str], order: str, algorith
         cell = F.col(f"`{column}`").cast("string")
         form = jtrim(cell) if trim else cell
         form = F.lower(form) if case_insensitive else form
-        counts = df.where(~blank(cell)).select(cell.alias("value"), form.alias("form"), F.col(f"`{order}`").alias("at")).groupBy("value", "form").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
-        forms = counts.groupBy("form").agg(F.sum("n").alias("n"))
-        values = counts.drop("n").join(forms, "form").withColumn("column", F.lit(column))
+        # blank cells are one group that the count of values leaves out: a filter would drag the whole plan of the cells below the aggregation
+        known = df.select(F.when(~blank(cell), cell).alias("value"), F.when(~blank(cell), form).alias("form"), F.col(f"`{order}`").alias("at"))
+        counts = known.groupBy("value", "form").agg(F.min("at").alias("at"), F.count("value").alias("n")).where("n > 0")
+        values = counts.withColumn("n", F.sum("n").over(Window.partitionBy("form"))).withColumn("column", F.lit(column))
 
         def group(frame: pd.DataFrame) -> pd.DataFrame:
             if len(frame) > most:

@@ -67,33 +67,33 @@ def numbered(df: DataFrame, order: list, to: str = "pos", by: list[str] | None =
     return joined.withColumn(to, F.col("__before") + F.col("__place") - F.col("__first") + 1).select(*df.columns, to)
 
 
-def _carried(rows: DataFrame, values: dict[str, Column], forward: bool) -> DataFrame:
+def _carried(rows: DataFrame, names: list[str], forward: bool) -> DataFrame:
     """For each partition the last (first) known values of the partitions before (after) it: one row for each."""
     pick = F.max_by if forward else F.min_by
-    known = [pick(F.when(v.isNotNull(), v), F.when(v.isNotNull(), F.col("__place"))).alias(k) for k, v in values.items()]
-    edge = rows.groupBy("__part").agg(*known)
-    window = Window.partitionBy(F.lit(0)).orderBy("__part")
-    frame = window.rowsBetween(Window.unboundedPreceding, -1) if forward else window.rowsBetween(1, Window.unboundedFollowing)
-    take = F.last if forward else F.first
-    return edge.select("__part", *[take(k, ignorenulls=True).over(frame).alias(f"__{'b' if forward else 'a'}_{k}") for k in values])
+    edge = rows.groupBy("__part").agg(*[pick(F.col(f"__v_{k}"), F.when(F.col(f"__v_{k}").isNotNull(), F.col("__place"))).alias(k) for k in names])
+    # running from the far end, since a frame that reaches forward is scanned anew for each row
+    before = Window.partitionBy(F.lit(0)).orderBy("__part" if forward else F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    return edge.select("__part", *[F.last(k, ignorenulls=True).over(before).alias(f"__{'b' if forward else 'a'}_{k}") for k in names])
 
 
-def neighbours(df: DataFrame, order: list, values: dict[str, Column], forward: bool = True, backward: bool = True) -> DataFrame:  # noqa: ANN001
+def neighbours(df: DataFrame, order: list, values: dict[str, Column], forward: bool = True, backward: bool = True, row: str | None = None) -> DataFrame:  # noqa: ANN001
     """``df`` with ``prev_<name>`` and ``next_<name>``: the nearest known value at or before and at or after each row.
 
-    Within a partition by a window, across partitions by one carried row for each partition.
+    Within a partition by a window, across partitions by one carried row for each partition. With ``row``, rows are
+    numbered from 1 in a column of that name, which the values may use.
     """
     rows = _partitioned(df, order)
-    inside = Window.partitionBy("__part").orderBy("__place")
-    out = rows
+    if row:
+        before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        rows = rows.join(F.broadcast(starts), "__part").withColumn(row, F.col("__before") + F.col("__place") + 1).drop("__before")  # a row for each partition
+    rows = rows.withColumns({f"__v_{k}": v for k, v in values.items()})
+    out, inside = rows, Window.partitionBy("__part").rowsBetween(Window.unboundedPreceding, 0)
     if forward:
-        out = out.join(F.broadcast(_carried(rows, values, True)), "__part")  # a row for each partition
+        out = out.join(F.broadcast(_carried(rows, list(values), True)), "__part")  # a row for each partition
     if backward:
-        out = out.join(F.broadcast(_carried(rows, values, False)), "__part")
+        out = out.join(F.broadcast(_carried(rows, list(values), False)), "__part")
     made = []
-    for k, v in values.items():
-        if forward:
-            made.append(F.coalesce(F.last(v, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"__b_{k}")).alias(f"prev_{k}"))
-        if backward:
-            made.append(F.coalesce(F.first(v, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col(f"__a_{k}")).alias(f"next_{k}"))
-    return out.select(*df.columns, *made)
+    for wanted, side, held, frame in ((forward, "prev", "b", inside.orderBy("__place")), (backward, "next", "a", inside.orderBy(F.desc("__place")))):
+        made += [F.coalesce(F.last(f"__v_{k}", ignorenulls=True).over(frame), F.col(f"__{held}_{k}")).alias(f"{side}_{k}") for k in values if wanted]
+    return out.select(*df.columns, *([row] if row else []), *made)

@@ -16,6 +16,7 @@ from loomgrid.functions import numeric, text
 from loomgrid.operators import columns as cols
 from loomgrid.operators import fill, fuzzy, rows
 from loomgrid.operators.profile import text_cells
+from loomgrid.operators.ranks import scratch
 
 
 @dataclass
@@ -124,9 +125,17 @@ def clean(df: DataFrame, options: CleaningOptions, order: str | None = None) ->
     table = text_cells(df, names) if order is None else df.select(F.col(f"`{order}`"), *_text(df, names))
     for stage in (_rows, _strings, _texts, _dates_and_numbers, _addresses, _columns, _statistics, _similar):
         table = stage(table, options, order)
+        if stage is _rows and options.remove_duplicates and _scans_again(options):
+            table = scratch(table, "distinct")  # the shuffle of whole rows runs once, not once for each statistic
     return table
 
 
+def _scans_again(o: CleaningOptions) -> bool:
+    """Whether a later stage needs statistics of the whole table before it can write its rows."""
+    fills = o.fill_missing_values and o.fill_strategy.strip().lower() not in ("", "constant")
+    return fills or o.normalize_data or o.standardize_data or (o.merge_similar_values and bool(o.fuzzy_match_columns))
+
+
 def _text(df: DataFrame, names: list[str]) -> list[Column]:
     kinds = dict(df.dtypes)
     return [(F.date_format(F.col(f"`{c}`"), "yyyy-MM-dd HH:mm:ss") if kinds[c].startswith("timestamp") else F.col(f"`{c}`").cast("string")).alias(c) for c in names]
@@ -149,16 +158,11 @@ def _rows(df: DataFrame, o: CleaningOptions, order: str | None) -> DataFrame:
 
 
 def _mapped(df: DataFrame, order: str | None, functions: list) -> DataFrame:  # noqa: ANN001
-    """All functions in one projection over all cells."""
-    if not functions:
-        return df
-
-    def all_in_turn(c: Column) -> Column:
-        for f in functions:
-            c = f(c)
-        return c
-
-    return cols.each(df, _cells(df, order), all_in_turn)
+    """All functions over all cells, a projection for each: nested into one another, functions that name their input
+    several times would grow the plan by that factor each. Spark merges the projections where that costs nothing."""
+    for f in functions:
+        df = cols.each(df, _cells(df, order), f)
+    return df
 
 
 def _strings(df: DataFrame, o: CleaningOptions, order: str | None) -> DataFrame:

@@ -198,3 +198,26 @@ def test_filters(spark):
 def test_scratch_tables_can_be_released(spark):
     df = ranks.scratch(spark.range(5))
     assert df.count() == 5 and ranks.release(spark) >= 1 and ranks.release(spark) == 0
+
+
+def test_neighbours_of_one_large_partition(spark):
+    """The frames run from the far end only, so a partition costs its rows and not their square."""
+    from loomgrid.operators.fill import fill_missing
+
+    n = 300_000
+    df = spark.range(n).select("id", F.when(F.col("id").isin(0, n - 1), F.col("id").cast("string")).alias("v")).coalesce(1)
+    done = {k: fill_missing(df, k, ["v"], order="id") for k in ("forward", "backward", "interpolate")}
+    assert [done["forward"].where(f"v = '{x}'").count() for x in (0, n - 1)] == [n - 1, 1]
+    assert [done["backward"].where(f"v = '{x}'").count() for x in (0, n - 1)] == [1, n - 1]
+    assert done["interpolate"].where("abs(v - id) > 1e-6").count() == 0
+    assert "unboundedfollowing" not in done["backward"]._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_cleaning_plan_grows_with_the_number_of_functions_only(spark):
+    from loomgrid.plans.cleaning import CleaningOptions, clean
+
+    df = spark.createDataFrame([("1", " a ", "01/02/2020")], "id string, a string, b string")
+    size = lambda **o: len(clean(df, CleaningOptions(**o), "id")._jdf.queryExecution().optimizedPlan().toString())
+    few = dict(trim_whitespace=True, standardize_dates=True)
+    many = dict(few, remove_leading_zeros=True, remove_extra_spaces=True, standardize_case=True, case_mode="title", remove_punctuation=True, replace_values=True, replacement_map={"x": "y"}, fill_missing_values=True, fill_strategy="constant", normalize_urls=True, standardize_phone_numbers=True, round_decimals=True, merge_similar_values=True, fuzzy_match_columns=["a"])
+    assert size(**many) < 8 * size(**few)
