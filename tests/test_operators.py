@@ -209,7 +209,7 @@ def test_neighbours_of_one_large_partition(spark):
     done = {k: fill_missing(df, k, ["v"], order="id") for k in ("forward", "backward", "interpolate")}
     assert [done["forward"].where(f"v = '{x}'").count() for x in (0, n - 1)] == [n - 1, 1]
     assert [done["backward"].where(f"v = '{x}'").count() for x in (0, n - 1)] == [1, n - 1]
-    assert done["interpolate"].where("abs(v - id) > 1e-6").count() == 0
+    assert done["interpolate"].where("abs(cast(v as double) - id) > 1e-6").count() == 0
     assert "unboundedfollowing" not in done["backward"]._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
