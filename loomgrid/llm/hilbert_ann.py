@@ -74,10 +74,19 @@ def curve_keys(unit: np.ndarray, curve: int, dimensions: int = DIMENSIONS, bits:
     return hilbert_keys(np.clip(cells, 0, (1 << bits) - 1).astype(np.int64), bits)
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between a half and one: exact, so no
+    cosine changes, and no square of a finite component leaves the range of doubles."""
+    rows = rows.astype(np.float64)
+    power = np.frexp(np.abs(rows).max(1, initial=0))[1]
+    half = power // 2  # in two steps, as 2 ** -power itself may be out of range
+    return np.ldexp(np.ldexp(rows, -half[:, None]), (half - power)[:, None])
+
+
 def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosine of each query with each row, in double precision, one sum for each pair of equal order."""
-    a, b = queries.astype(np.float64), rows.astype(np.float64)
-    return (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :])
+    """Cosine of each query with each row, in double precision, for vectors of any finite size but zero."""
+    a, b = scaled(queries), scaled(rows)
+    return np.clip((a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]), -1, 1)
 
 
 def _vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -103,7 +112,8 @@ def _ranked(index: DataFrame, curves: int, dimensions: int, bits: int) -> DataFr
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vec = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, 1))
-            unit = vec / np.sqrt((vec * vec).sum(1))[:, None] if len(vec) else vec
+            unit = scaled(vec)
+            unit = unit / np.sqrt((unit * unit).sum(1))[:, None]
             for curve in range(curves):
                 key = curve_keys(unit, curve, dimensions, bits) if len(unit) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), curve, np.int32)), pa.array(key), batch.column(0)], ["curve", "key", "node"])
@@ -193,11 +203,12 @@ def _nearest(index: DataFrame, asked: DataFrame, k: int, curves: int, dimensions
         return pd.concat(found) if found else pd.DataFrame({"query": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     met = filled.groupBy("curve", "block", "slot").applyInPandas(meet, "query bigint, node bigint, score double")
-    # one score for each pair, though two windows met it: equal sums can differ in the last bit between blocks
+    # one score for each pair, though two windows met it: equal sums can differ in the last bit between blocks.
+    # A query's own vector lies in its window, so rows that have the same vector get their score by the same rule.
     merged = met.groupBy("query", "node").agg(F.max("score").alias("score"))
     best = merged.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))).where(F.col("r") <= k + 1)
     expanded = best.join(owners.select(F.col("node").alias("query"), F.col("id").alias("query_id")), "query").join(nodes, "node")
-    pairs = expanded.select("query_id", F.expr("if(node = query, 1D, score)").alias("score"), F.explode("ids").alias("vec_id")).where("vec_id != query_id").distinct()
+    pairs = expanded.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

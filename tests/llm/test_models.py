@@ -204,3 +204,43 @@ def test_curve_visits_every_cell_by_single_steps():
     order = np.argsort(hilbert_ann.hilbert_keys(cells, 2))
     assert sorted(hilbert_ann.hilbert_keys(cells, 2)) == list(range(64))
     assert (np.abs(np.diff(cells[order], axis=0)).sum(1) == 1).all()
+
+
+def exact_cosine(a, b):
+    """The cosine in rational arithmetic up to the last square root."""
+    from decimal import Decimal, localcontext
+    from fractions import Fraction
+
+    a, b = [[Fraction(x) for x in v] for v in (a, b)]
+    dot, square = sum(x * y for x, y in zip(a, b)), sum(x * x for x in a) * sum(y * y for y in b)
+    with localcontext() as context:
+        context.prec = 40
+        context.Emin, context.Emax = -99999, 99999
+        ratio = dot * dot / square
+        root = (Decimal(ratio.numerator) / Decimal(ratio.denominator)).sqrt()
+    return float(root if dot >= 0 else -root)
+
+
+def test_nearest_of_any_finite_size(spark):
+    """Huge, tiny and subnormal vectors, and mixtures of them in one vector, take part like others."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((240, 6))
+    for first, size in ((0, 1e200), (1, 1e-200), (2, 5e-321), (3, 4e307)):
+        vectors[first:200:8] *= size
+    vectors[200:220, 0] *= 1e180
+    vectors[220:230] = 0.0
+    vectors[220:230, 3] = 5e-324
+    vectors[230] = np.nan
+    vectors[231, 2] = np.inf
+    vectors[232] = 0.0
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    found = hilbert_ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block=64).orderBy("query_id", "rank").collect()
+    usable = [i for i, v in rows if np.isfinite(v).all() and np.any(v)]
+    assert [r.query_id for r in found] == [q for q in range(0, 240, 50) if q in usable for _ in range(5)]
+    hits = 0
+    for q in range(0, 240, 50):
+        wanted = sorted(((-exact_cosine(rows[q][1], rows[i][1]), i) for i in usable if i != q))[:5]
+        own = [r for r in found if r.query_id == q]
+        assert all(r.score == pytest.approx(exact_cosine(rows[q][1], rows[r.vec_id][1]), abs=1e-12) for r in own)
+        hits += len({i for _, i in wanted} & {r.vec_id for r in own})
+    assert hits >= 0.9 * 25
