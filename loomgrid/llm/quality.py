@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc
     shares = known.agg(F.avg(F.col(f"`{label_col}`").cast("double")).alias("prior")).first()["prior"]
     prior = min(0.95, max(0.05, 0.5 if shares is None else shares))
     trusted = labelled(labels, id_col, label_col, learns, positives).where("label = 1")
-    ids = docs.select(F.col(f"`{id_col}`").cast("bigint").alias(f"{OWN}id")).where(remainder(f"{OWN}id", 5) != 0).distinct()
+    ids = docs.where(learns).select(F.col(f"`{id_col}`").cast("bigint").alias(f"{OWN}id")).distinct()
     web = ids.orderBy(F.xxhash64(F.lit(3), f"{OWN}id"), f"{OWN}id").limit(unlabelled)
     good, rest = _rows(texts_of(docs, trusted, id_col, text_col)), _rows(texts_of(docs, web, id_col, text_col))
     if len(good) < 2 or len(rest) < 2:

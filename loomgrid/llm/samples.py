@@ -26,5 +26,9 @@ def labelled(labels: DataFrame, id_col: str, label_col: str, learns: Column, mos
 
 
 def texts_of(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text and the columns of ``sample``) of the rows of ``docs`` whose id is in ``sample``, which is broadcast: it's bounded."""
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias(f"{OWN}id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), f"{OWN}id")
+    """(text and the columns of ``sample``): the text of each id of ``sample``, which is broadcast, as it's bounded.
+
+    Of rows with the same id and different texts the least text counts, so that the result is bounded as well.
+    """
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias(f"{OWN}id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), f"{OWN}id")
+    return texts.groupBy(*sample.columns).agg(F.min("text").alias("text"))

@@ -1,18 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on what documents marked toxic hold
-beyond ordinary text. A window (a word, between neutral runs that pay for the frame) is compressed with either;
-how many bytes the toxic dictionary saves is its vote. A document's score is a logistic function of the shares
-of windows that save at least 2, 3 or 4 bytes, calibrated on labelled documents that trained no dictionary; the
-same documents choose the sizes of the dictionaries.
+Two zstandard dictionaries are trained apart, both by zstandard's trainer: one on windows of ordinary documents,
+one on the spans of toxic documents that make them toxic. A text is read in windows of four words, each half over
+the next. A window is compressed with the ordinary dictionary, and with the toxic dictionary after the ordinary one;
+the bytes that the toxic dictionary saves are the window's distance. (With the toxic dictionary alone, the
+difference tells mostly which ordinary words either dictionary happens to hold.) The windows that save at least
+so many bytes are counted at three thresholds, and a document's score is a logistic function of their numbers
+and shares. Dictionary sizes, thresholds and weights are calibrated on labelled documents that trained no dictionary.
+
+Which spans of a toxic document are toxic isn't marked. Toxic spans are its words that begin as words of toxic
+documents do much more often than words of ordinary ones.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +31,27 @@ from loomgrid.llm.samples import labelled, remainder, texts_of
 #: Labelled documents of each label that are learned from, and the share that calibrates.
 LEARNED = 4000
 CALIBRATED = 0.3
-#: Bytes of each ordinary document that train the ordinary dictionary.
-TAUGHT = 2000
-#: Sizes of (toxic, ordinary) dictionaries that are tried, and the level.
-SIZES = ((128, 32768), (192, 32768), (256, 8192), (256, 32768), (384, 32768), (512, 32768))
-#: Occurrences of a segment that count in one document.
-OFTEN = 3
+#: Windows of ordinary documents, and spans of toxic ones, that train the dictionaries: those with the least hashes, from anywhere in the texts.
+TAUGHT = 100_000
+#: Beginnings of words that mark toxic spans.
+MARKS = 4_000
+#: Standard deviations by which a mark must be more frequent in toxic documents.
+SURE = 3.0
+#: Sizes of the ordinary dictionary and of the toxic one that are tried; the trainer's segment and match sizes; the level.
+ORDINARY = 65_536
+TOXIC = (1024, 2048, 3072, 4096, 8192)
+_ORDINARY_COVER = {"k": 32, "d": 6}
+_TOXIC_COVER = {"k": 16, "d": 6}
 LEVEL = 3
-VOTES = (2, 3, 4)
+#: Words of a window, of a step to the next, and of a window that trains the ordinary dictionary.
+WINDOW, STEP, TAUGHT_WINDOW = 4, 2, 8
+#: Bytes to which a toxic span is repeated before it trains.
+SPAN = 48
+#: Bytes saved among which the thresholds are chosen, and how many are.
+VOTES = (1, 2, 3, 4, 5, 6, 7, 8)
+CHOSEN = 3
 CUT = 0.3
-CACHED = 150_000
-_HEAD, _TAIL = b"\n" * 32, b"\n" * 16
+_PAD = b"\n" * 16
 #: Fixed value: the three start offsets that end the header of a trained dictionary.
 _HEADER_END = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
@@ -44,15 +60,26 @@ _HEADER_END = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 class Model:
     ordinary: bytes
     toxic: bytes
+    thresholds: tuple[int, ...]
     weights: tuple[float, ...]
 
     def score(self, votes: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_features(votes, windows) @ np.array(self.weights), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_features(votes, windows, self.thresholds) @ np.array(self.weights), -30, 30)))
 
 
-def _features(votes: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    share = votes / np.maximum(windows, 1)[:, None]
-    return np.column_stack((np.ones(len(votes)), np.log1p(1000 * share) / 5, np.log1p(votes[:, 1:]) / 3))
+def _features(votes: np.ndarray, windows: np.ndarray, thresholds: tuple[int, ...]) -> np.ndarray:
+    """A constant, and shares and numbers of the windows that save at least each threshold; ``votes`` has a column for each of VOTES."""
+    counts = votes[:, [VOTES.index(t) for t in thresholds]]
+    return np.column_stack((np.ones(len(votes)), np.log1p(1000 * counts / np.maximum(windows, 1)[:, None]) / 5, np.log1p(counts) / 3))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").split()
+
+
+def windows(words: list[bytes], size: int = WINDOW, step: int = STEP) -> list[bytes]:
+    """Windows of ``size`` words, a new one every ``step`` words, so that each word is in one at least; fewer words are one window."""
+    return [b" " + b" ".join(words[at : at + size]) + b" " for at in range(0, max(1, len(words) - size + step), step)] if words else []
 
 
 class Voter:
@@ -60,7 +87,6 @@ class Voter:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.compress = [self._with(ordinary), self._with(ordinary + toxic)]
-        self.saved: dict[bytes, int] = {}
 
     @staticmethod
     def _with(content: bytes):  # noqa: ANN205
@@ -68,22 +94,21 @@ class Voter:
 
         if len(content) < 8:
             return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress
-        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        words.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-
-    def _saves(self, word: bytes) -> int:
-        if len(self.saved) >= CACHED:
-            self.saved.clear()
-        window = _HEAD + b" " + word + _TAIL
-        found = self.saved[word] = len(self.compress[0](window)) - len(self.compress[1](window))
-        return found
-
-    def votes(self, text: str) -> tuple[list[int], int]:
-        words = text.lower().encode("utf-8", "surrogatepass").split()
-        known, saves = self.saved.get, self._saves
-        found = Counter(saves(w) if (x := known(w)) is None else x for w in words)
-        return [sum(n for saved, n in found.items() if saved >= v) for v in VOTES], len(words)
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+    def votes(self, text: str | None) -> tuple[list[int], int]:
+        """(how many windows save at least each of VOTES bytes, how many windows)."""
+        ordinary, toxic = self.compress
+        found = [0] * (VOTES[-1] + 1)
+        own, most = windows(words_of(text)), VOTES[-1]
+        for window in own:
+            window = _PAD + window + _PAD
+            saved = len(ordinary(window)) - len(toxic(window))
+            if saved > 0:
+                found[min(saved, most)] += 1
+        return [sum(found[v:]) for v in VOTES], len(own)
 
 
 _VOTERS: dict[tuple[bytes, bytes], Voter] = {}
@@ -91,45 +116,36 @@ _VOTERS: dict[tuple[bytes, bytes], Voter] = {}
 
 def voter(ordinary: bytes, toxic: bytes) -> Voter:
     if (ordinary, toxic) not in _VOTERS:
-        if len(_VOTERS) > len(SIZES):
+        if len(_VOTERS) > len(TOXIC):
             _VOTERS.clear()
         _VOTERS[ordinary, toxic] = Voter(ordinary, toxic)
     return _VOTERS[ordinary, toxic]
 
 
-def segments(text: str) -> dict[bytes, int]:
-    """What a dictionary may hold of a text, and how often the text has it, ``OFTEN`` times at most: its words and their beginnings of 5 to 12 bytes, each after a space."""
-    found: Counter = Counter()
-    for word, n in Counter(text.lower().encode("utf-8", "surrogatepass").split()).items():
-        word = b" " + word
-        for size in range(5, min(len(word), 12) + 1):
-            found[word[:size]] += n
-        if len(word) > 12:
-            found[word[:24]] += n
-    return {k: min(n, OFTEN) for k, n in found.items()}
-
-
-def toxic_content(counts: list[tuple[bytes, int, int]], toxic: int, ordinary: int, size: int) -> bytes:
-    """The ``size`` bytes that pay best: segments by how much more often toxic documents have them, less a standard deviation, than three times the ordinary rate, times the bytes they save. The best come last, where offsets are short."""
-    rated = sorted(((gain * (len(s) - 3), s) for s, a, b in counts if (gain := a - math.sqrt(OFTEN * a) - 3 * toxic * (b + 0.5) / max(ordinary, 1)) > 0), key=lambda x: (-x[0], x[1]))
-    held, total, joined = [], 0, b""
-    for _, segment in rated:
-        if segment not in joined:
-            if total + len(segment) > size:
-                break
-            held.append(segment)
-            joined, total = joined + segment, total + len(segment)
-    return b"".join(reversed(held))
-
-
-def ordinary_content(texts: list[str], size: int) -> bytes:
+def pairs(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Each word and the one after it."""
+    return zip(words, [*words[1:], b""])
+
+
+def beginnings(word: bytes) -> list[bytes]:
+    """The beginnings of a word by which toxic spans are found: of 5 to 12 bytes, with the space before it."""
+    word = b" " + word
+    return [word[:size] for size in range(5, min(len(word), 12) + 1)]
+
+
+def span(word: bytes, marks: set[bytes]) -> bytes | None:
+    """The longest beginning of a word that is a mark."""
+    return next((b for b in reversed(beginnings(word)) if b in marks), None)
+
+
+def dictionary(samples: list[bytes], size: int, cover: dict[str, int]) -> bytes:
+    """The content of the dictionary that zstandard's trainer makes of the samples, without its header and tables."""
     import zstandard
 
-    samples = [" ".join(t.split()).lower().encode("utf-8", "surrogatepass")[:TAUGHT] for t in texts]
     try:
-        trained = zstandard.train_dictionary(size, [s for s in samples if len(s) >= 8]).as_bytes()
+        trained = zstandard.train_dictionary(size, [s for s in samples if len(s) >= 8], **cover).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little text to train on: it's its own dictionary
-        return b" ".join(samples)[:size]
+        return b"".join(sorted(set(samples)))[:size]
     return trained[trained.find(_HEADER_END) + len(_HEADER_END) :]
 
 
@@ -146,6 +162,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
+def _sampled(parts: DataFrame, most: int) -> list[bytes]:
+    """At most ``most`` of the rows of ``parts`` (part), by their hashes; dealt out, since the trainer takes something from each stretch of its samples."""
+    found = [bytes(r["part"]) for r in parts.orderBy(F.xxhash64(F.lit(13), "part", "after"), "part", "after").limit(most).collect()]
+    return [found[k] for k in np.random.default_rng(17).permutation(len(found))]
+
+
 def train(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learned: int = LEARNED) -> Model:
     """A model from at most ``learned`` labelled documents of each label among the rows of ``labels`` that meet ``learns``.
 
@@ -158,42 +180,53 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc
         toxic, ordinary = n.get((1, False), 0), n.get((0, False), 0)
         if not (toxic and ordinary and n.get((1, True)) and n.get((0, True))):
             share = (sum(v for k, v in n.items() if k[0] == 1) + 1) / (sum(n.values()) + 2)
-            return Model(b"", b"", (math.log(share / (1 - share)), *[0.0] * (2 * len(VOTES) - 1)))
+            return Model(b"", b"", VOTES[:CHOSEN], (math.log(share / (1 - share)), *[0.0] * (2 * CHOSEN)))
 
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found: dict[int, Counter] = {0: Counter(), 1: Counter()}
                 for text, label in zip(*(c.to_pylist() for c in batch.columns)):
-                    found[label].update(segments(text))
-                for label, counts in found.items():
-                    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([label] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["segment", "label", "n"])
+                    found = {(b, crc32(after)) for word, after in set(pairs(words_of(text))) for b in beginnings(word)}
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), pa.array([label] * len(found), pa.int32())], ["mark", "after", "label"])
 
+        # how many words follow a mark, not how many documents have it: copies of a document add nothing
         learning = sample.where(~F.col("calibrates"))
-        counted = learning.select("text", "label").mapInArrow(cut, "segment binary, label int, n bigint").groupBy("segment").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
-        gain = F.col("a") - F.sqrt(OFTEN * F.col("a")) - F.lit(3 * toxic / ordinary) * (F.col("b") + 0.5)
-        best = counted.where(gain > 0).orderBy(F.desc(gain * (F.length("segment") - 3)), "segment").limit(max(t for t, _ in SIZES))
-        counts = [(bytes(r["segment"]), r["a"], r["b"]) for r in best.collect()]
-        taught = [r["text"] for r in learning.where("label = 0").select(F.substring("text", 1, 2 * TAUGHT).alias("text")).collect()]
-        contents = {o: ordinary_content(taught, o) for o in sorted({o for _, o in SIZES})}
-        tried = [(contents[o], toxic_content(counts, toxic, ordinary, t)) for t, o in SIZES]
+        counted = learning.select("text", "label").mapInArrow(begun, "mark binary, after bigint, label int").distinct().groupBy("mark").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+        # beyond the standard deviations and three times the ordinary rate
+        gain = F.col("a") - SURE * F.sqrt("a") - F.lit(3 * toxic / ordinary) * (F.col("b") + 0.5)
+        marks = {bytes(r["mark"]) for r in counted.where(gain > 0).orderBy(F.desc(gain), "mark").limit(MARKS).collect()}
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for text, label in zip(*(c.to_pylist() for c in batch.columns)):
+                    words = words_of(text)
+                    found = {(mark, crc32(w + b" " + after)) for w, after in pairs(words) if (mark := span(w, marks))} if label else {(w, 0) for w in windows(words, TAUGHT_WINDOW, TAUGHT_WINDOW)}
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), pa.array([label] * len(found), pa.int32())], ["part", "after", "label"])
+
+        parts = learning.select("text", "label").mapInArrow(cut, "part binary, after bigint, label int").distinct()
+        ordinary_content = dictionary(_sampled(parts.where("label = 0"), TAUGHT), ORDINARY, _ORDINARY_COVER)
+        spans = _sampled(parts.where("label = 1"), TAUGHT)
+        spans = [s * (1 + SPAN // len(s)) for s in spans]  # what lies across two spans teaches nothing
+        tried = [dictionary(spans, size, _TOXIC_COVER) for size in TOXIC]
 
         def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            voters = [Voter(*pair) for pair in tried]
+            voters = [Voter(ordinary_content, content) for content in tried]
             for batch in batches:
-                rows = [(label, *(v for own in voters for v in own.votes(text)[0]), len(text.split())) for text, label in zip(*(c.to_pylist() for c in batch.columns))]
+                rows = [(label, *(v for own in voters for v in own.votes(text)[0]), len(windows(words_of(text)))) for text, label in zip(*(c.to_pylist() for c in batch.columns))]
                 yield pa.RecordBatch.from_arrays([pa.array([list(map(float, r)) for r in rows], pa.list_(pa.float64()))], ["row"])
 
         rows = np.array([r["row"] for r in sample.where("calibrates").select("text", "label").mapInArrow(vote, "row array<double>").collect()])
     finally:
         sample.unpersist()
-    y, windows, best = rows[:, 0], rows[:, -1], None
-    for k, pair in enumerate(tried):
-        x = _features(rows[:, 1 + k * len(VOTES) : 1 + (k + 1) * len(VOTES)], windows)
-        w = fit_logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
-        loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
-        if best is None or loss < best[0]:
-            best = (loss, Model(*pair, tuple(w)))
+    y, n_windows, best = rows[:, 0], rows[:, -1], None
+    for k, content in enumerate(tried):
+        votes = rows[:, 1 + k * len(VOTES) : 1 + (k + 1) * len(VOTES)]
+        for thresholds in combinations(VOTES, CHOSEN):
+            x = _features(votes, n_windows, thresholds)
+            w = fit_logistic(x, y)
+            p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
+            loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+            if best is None or loss < best[0]:
+                best = (loss, Model(ordinary_content, content, thresholds, tuple(w)))
     return best[1]
 
 

@@ -244,3 +244,30 @@ def test_nearest_of_any_finite_size(spark):
         assert all(r.score == pytest.approx(exact_cosine(rows[q][1], rows[r.vec_id][1]), abs=1e-12) for r in own)
         hits += len({i for _, i in wanted} & {r.vec_id for r in own})
     assert hits >= 0.9 * 25
+
+
+def test_toxicity_ranks_held_out_documents(spark):
+    """AUC and recall on all held-out rows of sf0.1, not the share of right answers, which the many 0 labels lift."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, toxicity.learns())
+    assert model.ordinary and model.toxic and model.toxic not in model.ordinary
+    joined = toxicity.scores(docs.join(labels.where(~toxicity.learns()), "doc_id"), model).select("doc_id", "score", "toxic").toPandas()
+    y, rank = joined["toxic"].to_numpy(), joined["score"].rank().to_numpy()
+    area = (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    assert len(y) > 900 and area > 0.92 and (joined["score"][y == 1] >= 0.3).mean() > 0.75
+
+
+def test_windows_hold_every_word():
+    for n in range(12):
+        words = [b"w%d" % k for k in range(n)]
+        held = [w for window in toxicity.windows(words) for w in window.split()]
+        assert set(held) == set(words) and all(len(x.split()) <= toxicity.WINDOW for x in toxicity.windows(words))
+
+
+def test_repeated_labelled_ids_train_once(spark, corpus):
+    """Many rows of one labelled id stay one row of the sample, the least text."""
+    from loomgrid.llm.samples import texts_of
+
+    docs = spark.range(5000).selectExpr("id % 2 as doc_id", "concat('text ', id % 7) as text")
+    sample = spark.createDataFrame([(0, 1)], "__lg_id bigint, label int")
+    assert [tuple(r) for r in texts_of(docs, sample, "doc_id", "text").select("label", "text").collect()] == [(1, "text 0")]
