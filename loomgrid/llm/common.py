@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.operators.ranks import scratch
@@ -11,6 +11,8 @@ from loomgrid.operators.ranks import scratch
 OWN = "__lg_"
 #: Rows of a side that may be broadcast after they were counted.
 BROADCAST_ROWS = 200_000
+#: Rows of one key that a shuffled join takes without a look at the share.
+HOT_ROWS = 256
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -29,6 +31,30 @@ def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_counted(rows: DataFrame, table: DataFrame, *keys: str, most: int = 100_000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and in ``n`` how many of ``rows`` have it.
+
+    A key with more than one in ``most`` of all rows would gather them in one task. There are fewer than ``most``
+    such keys, so their rows of ``table`` are broadcast; the others meet in a shuffle. ``n`` doesn't come along.
+    ``table`` is read several times, so it should be a table that was written. Null keys join nothing.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT_ROWS, total // most)
+    frequent, others = table.where(hot).drop("n"), table.where(~hot).drop("n")
+    if frequent.isEmpty():
+        return rows.join(others, list(keys))
+    rest = rows.join(F.broadcast(frequent.select(*keys)), list(keys), "left_anti").join(others, list(keys))
+    return rows.join(F.broadcast(frequent), list(keys)).unionByName(rest)
+
+
+def pin_splits(spark: SparkSession) -> None:
+    """Fixes how this session cuts files into partitions, where it isn't set, so that rows numbered in one read have the
+    same numbers in the next, though executors come and go in between."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
+
+
 def text_bytes(column: str) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")

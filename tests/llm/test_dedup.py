@@ -102,8 +102,8 @@ def near_fingerprints(seed, n, spread):
 @pytest.mark.parametrize(("seed", "spread", "block"), [(0, 4, 4096), (1, 3, 5), (2, 8, 2), (3, 2, 3)])
 def test_components_against_brute_force(spark, seed, spread, block):
     fps = sorted(set(near_fingerprints(seed, 250, spread)))
-    table = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp bigint").repartition(3)
-    found = {r.node: r.root for r in simhash.components(simhash._links(table, block, 4)).collect()}
+    table = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) * 2 for f in fps], "node bigint, w0 bigint").repartition(3)
+    found = {r.node: r.root for r in simhash.components(simhash._links(table, block, simhash.RULE_BITS)).collect()}
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
     root = brute_components(fps)
     for a in range(len(fps)):
@@ -161,19 +161,76 @@ def test_near_duplicates(spark):
     assert {(r.doc_id, r.component_id) for r in out} == {(9, 4), (4, 4), (7, 4), (1, 1), (2, 1), (3, 3), (None, 4)} and len(out) == 8
     assert {r.doc_id: r.fingerprint for r in out}[1] == "0" * 16
     kept = simhash.near_dedup(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 4]
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_near_dedup_drops_rows_not_ids(spark):
     texts = ["".join(f"{t}{k} " for k in range(60)) for t in "abcd"]
     rows = [(2, texts[0], "s"), (5, texts[0], "s"), (None, texts[0], "s"), (5, texts[1], "s"), (8, texts[1], "s"), (None, texts[2], "s"), (None, texts[3], "s"), (None, texts[3], "s")]
-    for df in (documents(spark, rows, "uid"), documents(spark, rows).repartition(3).localCheckpoint()):
+    for df in (documents(spark, rows, "uid"), documents(spark, rows).repartition(3).cache()):
         kept = simhash.near_dedup(df)
         assert kept.columns == df.columns
         assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("2", texts[0]), ("5", texts[1]), ("None", texts[2]), ("None", texts[3])])
 
 
+def jaccard(a, b, size=5):
+    x, y = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def edited(words, rng, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+def test_near_dedup_by_jaccard(spark):
+    """Pairs of any similarity: those well above 0.8 are found, those well below are left alone, and of those at 0.8 or more hardly any is lost."""
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for k in range(240):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        other = edited(base, rng, rng.randint(0, 1 + len(base) // 25))
+        rows += [(2 * k, " ".join(base), "s"), (2 * k + 1, " ".join(other), "s")]
+        pairs.append(jaccard(rows[-2][1], rows[-1][1]))
+    kept = {r.doc_id for r in simhash.near_dedup(documents(spark, rows)).collect()}
+    assert {2 * k for k in range(240)} <= kept
+    gone = [2 * k + 1 not in kept for k in range(240)]
+    assert all(g for g, j in zip(gone, pairs) if j >= 0.88) and not any(g for g, j in zip(gone, pairs) if j < 0.7)
+    near = [g for g, j in zip(gone, pairs) if j >= 0.8]
+    assert len(near) > 80 and sum(near) / len(near) >= 0.93
+
+
+def test_one_large_group_of_near_copies(spark):
+    """Thousands of different near copies of one text, in keys that are dealt out in blocks, leave one row."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    rows = [(k, " ".join(edited(base, rng, 2)), "s") for k in range(1200)] + [(5000, " ".join(base[::-1]), "s")]
+    for block in (4096, 64):
+        assert sorted(r.doc_id for r in simhash.near_dedup(documents(spark, rows).repartition(5).cache(), block=block).collect()) == [0, 5000]
+
+
+def test_wide_fingerprints():
+    text = "the cat sat on the mat and saw a dog " * 40_000
+    found = simhash.wide_fingerprint(text, 5, 16)
+    hashes = np.unique(simhash.shingle_hashes(text, 5))
+    spread = simhash._spread(hashes, 16)
+    bits = np.unpackbits(spread.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little").sum(0) * 2 > len(hashes)
+    assert (np.unpackbits(found.view(np.uint8), bitorder="little") == bits).all()
+    assert not simhash.wide_fingerprint(None, 5, 16).any() and (simhash.wide_fingerprint("One  two", 5, 4) == simhash.wide_fingerprint("one two", 5, 16)[:4]).all()
+
+
+def test_hot_keys_join_like_others(spark):
+    from loomgrid.llm.common import join_counted
+
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, 7, id) as k", "id")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.col("k") * 2)
+    found = join_counted(rows, table, "k")
+    assert found.columns == ["k", "id", "m"] and found.count() == 5000 and found.where("m != k * 2").isEmpty()
+
+
 def test_units():
     text = "a b c d e\n short \nOne two three four five six seven eight. Nine ten eleven twelve thirteen fourteen fifteen sixteen."
     found = list(substring_dedup.units(text))
