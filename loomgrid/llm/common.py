@@ -31,8 +31,8 @@ def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def join_counted(rows: DataFrame, table: DataFrame, *keys: str, most: int = 100_000) -> DataFrame:
-    """``rows`` joined with ``table``, which has one row for each key and in ``n`` how many of ``rows`` have it.
+def join_counted(rows: DataFrame, table: DataFrame, *keys: str, how: str = "inner", most: int = 100_000) -> DataFrame:
+    """``rows`` joined (inner or left) with ``table``, which has one row for each key and in ``n`` how many of ``rows`` have it.
 
     A key with more than one in ``most`` of all rows would gather them in one task. There are fewer than ``most``
     such keys, so their rows of ``table`` are broadcast; the others meet in a shuffle. ``n`` doesn't come along.
@@ -42,8 +42,8 @@ def join_counted(rows: DataFrame, table: DataFrame, *keys: str, most: int = 100_
     hot = F.col("n") > max(HOT_ROWS, total // most)
     frequent, others = table.where(hot).drop("n"), table.where(~hot).drop("n")
     if frequent.isEmpty():
-        return rows.join(others, list(keys))
-    rest = rows.join(F.broadcast(frequent.select(*keys)), list(keys), "left_anti").join(others, list(keys))
+        return rows.join(others, list(keys), how)
+    rest = rows.join(F.broadcast(frequent.select(*keys)), list(keys), "left_anti").join(others, list(keys), how)
     return rows.join(F.broadcast(frequent), list(keys)).unionByName(rest)
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,11 +34,12 @@ SEED = 23
 #: Elements without an end tag, elements that start a block of text, elements whose content isn't text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-OPAQUE = frozenset("script style noscript template iframe object svg canvas video audio head title select textarea button option datalist math".split())
+OPAQUE = frozenset("script style noscript template iframe object svg canvas video audio head title select textarea button option datalist annotation annotation-xml".split())
 #: Fixed value: what an open head may hold; anything else ends it.
 HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
 #: An open element that ends when one of these starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"}, "p": BLOCKS}
+_ENDED_BY = {tag: frozenset(old for old, new in ENDS.items() if tag in new) for tag in set().union(*ENDS.values())}
 _SCOPES = frozenset("ul ol dl table td th article section main aside nav div body header footer blockquote form".split())
 _TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form a b span".split()
 #: Words in class, id and role that tell what a region is for. Fixed values.
@@ -66,16 +68,66 @@ class Node:
     marks: str
     parent: Node | None
     depth: int
+    #: The nearest block element around it.
+    above: Node | None = None
     parts: list = field(default_factory=list)
     hidden: bool = False
 
 
 class _Builder(HTMLParser):
-    """A tree of a page, with the ends that browsers imply; never fails, whatever the markup."""
+    """A tree of a page, with the ends that browsers imply; never fails, whatever the markup.
+
+    ``open`` holds the open elements from the outside in, and their places by tag, so that no start or end looks
+    through all of them: a page costs its length, however deep its elements lie.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", "", None, 0)
+        self.root = Node("html", "", None, 0)
+        self.open: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.blocks: list[int] = []
+
+    @property
+    def at(self) -> Node:
+        return self.open[-1] if self.open else self.root
+
+    def _last(self, tag: str) -> int:
+        """The place of the innermost open element of this tag, or -1."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def _push(self, node: Node) -> None:
+        place = len(self.open)
+        self.open.append(node)
+        self.places.setdefault(node.tag, []).append(place)
+        if node.tag in _SCOPES:
+            self.scopes.append(place)
+        if node.tag in BLOCKS:
+            self.blocks.append(place)
+
+    def _end(self, place: int) -> None:
+        """Ends the open element at ``place`` and all that is open in it."""
+        while len(self.open) > place:
+            tag = self.open.pop().tag
+            self.places[tag].pop()
+            if tag in _SCOPES:
+                self.scopes.pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def _imply_ends(self, tag: str) -> None:
+        """Ends the open elements that can't hold ``tag``: a paragraph, and the innermost item or cell of the same list or table."""
+        ended = _ENDED_BY.get(tag)
+        if ended:
+            item = max((self._last(t) for t in ended if t != "p"), default=-1)
+            scope = self.scopes[-1] if self.scopes else -1
+            if item >= 0 and item >= scope:
+                self._end(item)
+            elif "p" in ended and self._last("p") > scope:
+                places = self.places["p"]
+                self._end(places[bisect_right(places, scope)])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given = {k: v or "" for k, v in attrs}
@@ -84,24 +136,17 @@ class _Builder(HTMLParser):
             if tag == "html":
                 return
         if self.at.tag == "head" and tag not in HEAD:
-            self.at = self.at.parent
-        elif tag == "body":
-            self._end_head()
-        node = self.at
-        while node.parent is not None:
-            if tag in ENDS.get(node.tag, ()):
-                self.at = node.parent
-                if node.tag != "p":
-                    break
-            elif node.tag in _SCOPES:
-                break
-            node = node.parent
+            self._end(len(self.open) - 1)
+        elif tag == "body" and self._last("head") >= 0:
+            self._end(self._last("head"))
+        self._imply_ends(tag)
         marks = " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label"))
-        new = Node(tag, marks, self.at, min(self.at.depth + (tag in BLOCKS), 200))
+        around = self.at
+        new = Node(tag, marks, around, min(around.depth + (tag in BLOCKS), 200), around if around.tag in BLOCKS else around.above)
         new.hidden = tag in OPAQUE or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-        self.at.parts.append(new)
+        around.parts.append(new)
         if tag not in VOID:
-            self.at = new
+            self._push(new)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -109,26 +154,13 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            if tag not in BLOCKS and node.tag in BLOCKS:
-                return
-            node = node.parent
-
-    def _end_head(self) -> None:
-        """Ends an open head with all that is open in it."""
-        node = self.at
-        while node is not None and node.tag != "head":
-            node = node.parent
-        if node is not None:
-            self.at = node.parent
+        place = self._last(tag)
+        if place >= 0 and (tag in BLOCKS or not self.blocks or self.blocks[-1] < place):
+            self._end(place)
 
     def handle_data(self, data: str) -> None:
         if self.at.tag == "head" and data.strip():
-            self.at = self.at.parent
+            self._end(len(self.open) - 1)
         self.at.parts.append(data)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
@@ -218,9 +250,7 @@ def node_rows(nodes: list[Node]) -> list[list[float]]:
     tags: list[tuple[float, ...]] = [(0.0,) * len(_ABOVE)] * len(nodes)
     children: dict[int, list[int]] = {}
     for k, node in enumerate(nodes):
-        up = node.parent
-        while up is not None and id(up) not in place:
-            up = up.parent
+        up = node.above
         if up is not None:
             p = place[id(up)]
             above[k] = tuple(map(max, above[p], groups[p]))
@@ -255,10 +285,7 @@ def decode(nodes: list[Node], p: np.ndarray) -> list[bool]:
     drop, keep, parent = np.log(1 - p).tolist(), np.log(p).tolist(), [-1] * len(nodes)
     keep[0] = 0.0
     for k in range(len(nodes) - 1, 0, -1):
-        up = nodes[k].parent
-        while id(up) not in place:
-            up = up.parent
-        parent[k] = place[id(up)]
+        parent[k] = place[id(nodes[k].above)]
         drop[parent[k]] += drop[k]
         keep[parent[k]] += max(keep[k], drop[k])
     out = [True] * len(nodes)
@@ -404,6 +431,8 @@ class _Writer:
             body.insert(0, f"<h1 data-main>{self.words(2, 12)}</h1>")
             if self.chance(0.25):
                 body[0] = f"<header data-main>{body[0]}</header>"
+        if self.chance(0.05):  # a fragment: text without any region around it
+            return "".join(body[:1] if self.chance(0.3) else body)
         tag = self.any("article article article main div div section")
         article = f"<{tag} data-main{self.attrs(0, 0.3 if tag in ('article', 'main') else 1)}>{''.join(body)}</{tag}>"
         while self.chance(0.35):

@@ -271,3 +271,42 @@ def test_repeated_labelled_ids_train_once(spark, corpus):
     docs = spark.range(5000).selectExpr("id % 2 as doc_id", "concat('text ', id % 7) as text")
     sample = spark.createDataFrame([(0, 1)], "__lg_id bigint, label int")
     assert [tuple(r) for r in texts_of(docs, sample, "doc_id", "text").select("label", "text").collect()] == [(1, "text 0")]
+
+
+def article_lines(html):
+    """The lines of what a page has between <article> and </article>, by plain splitting: these pages hold headings, paragraphs, <b> and <br> there."""
+    import html as entities
+    import re
+
+    inside = html.partition("<article>")[2].partition("</article>")[0]
+    inside = re.sub(r"(?s)<(nav|aside|form|script|style|section|div|header|footer)\b.*?</\1>", "\n<p>", inside)
+    blocks = [re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b)) for b in re.split(r"</?(?:p|h[1-6]|li|ul|ol|blockquote|pre|td|tr|table)\b[^>]*>", inside)]
+    return [line for b in blocks if (line := " ".join(entities.unescape(b).split()))]
+
+
+def test_main_text_of_given_pages(spark):
+    """Precision and recall of whole lines on pages that the module didn't write."""
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    rows = html_main.extract_main_text(pages).join(pages.select("page_id", "html"), "page_id").where("contains(html, '<article>')").collect()
+    assert len(rows) > 200
+    right = found = wanted = 0
+    for r in rows:
+        own, truth = set(r.text.split("\n")), set(article_lines(r.html))
+        right, found, wanted = right + len(own & truth), found + len(own), wanted + len(truth)
+    assert right / found > 0.99 and right / wanted > 0.99
+
+
+@pytest.mark.parametrize("html", ["<b>" * 100_000 + "text", "<b>" * 50_000 + "<p>x" * 50_000, "<td>" * 100_000, "<div><b>" + "</i>" * 100_000, "<span><div>" * 50_000 + "x"])
+def test_any_depth_costs_its_length(html):
+    import time
+
+    start = time.process_time()
+    nodes = html_main.nodes_of(html_main.parse(html))
+    assert time.process_time() - start < 4 and nodes
+
+
+def test_text_that_isnt_markup(spark):
+    trees = html_main.trained_trees()
+    assert html_main.main_text("<p>a &amp; b<br>c</p>", trees) == "a & b c"
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold for all of the values that were seen here.</p></article></body></html>"
+    assert "x=2" in html_main.main_text(page, trees)
