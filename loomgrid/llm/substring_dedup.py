@@ -1,6 +1,7 @@
 """Substring dedup by line hashing.
 
-Units are the lines of a text, and the sentences of lines that hold several. A unit is normalised (lower case,
+Units are the lines of a text that aren't blank, and the long sentences of lines that hold several, since a passage
+can recur within a longer paragraph. A unit is normalised (lower case,
 runs of white space as one space, trimmed) and known by a digest of 128 bits. Digests are grouped over all
 documents; of equal units the one in the earliest ranked document stays, and all others are removed. Removed
 units keep the offsets they have in the original text.
@@ -15,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import OWN, materialize, rest_of
+from loomgrid.llm.common import OWN, join_counted, materialize, pin_splits, rest_of
 
-#: Shorter units are never removed: a few words can be equal by chance.
-LINE_WORDS = 5
+#: Words that a line must have to be a unit, and those that a sentence within a line must have.
+LINE_WORDS = 1
 SENTENCE_WORDS = 8
 _SENTENCE = re.compile(r"\S(?:.*?[.!?](?=\s)|.*$)", re.S)
 
@@ -28,7 +29,7 @@ def units(text: str | None, line_words: int = LINE_WORDS, sentence_words: int =
     at = 0
     for line in (text or "").split("\n"):
         words = line.split()
-        if len(words) >= line_words:
+        if words and len(words) >= line_words:
             yield at, at + len(line), " ".join(words).lower()
             found = [m.span() for m in _SENTENCE.finditer(line)]
             if len(found) > 1:
@@ -75,12 +76,14 @@ def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["digest", "uid", "id", "start", "end", "n_words"])
 
+    pin_splits(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = rows.mapInArrow(cut, "digest binary, uid bigint, id bigint, start int, end int, n_words int")
+    found = materialize(rows.mapInArrow(cut, "digest binary, uid bigint, id bigint, start int, end int, n_words int"), "units")
     ranked = F.struct(F.col("id").isNull().alias("none"), "id", "uid", "start")
     first = found.groupBy("digest").agg(F.min(ranked).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = materialize(first.select("digest", F.col("first.id").alias("keep_doc_id"), F.col("first.uid").alias("keep_uid"), F.col("first.start").alias("keep_start")), "first-units")
-    return found.join(first, "digest").where("uid != keep_uid or start != keep_start").select("uid", F.col("id").alias("doc_id"), "start", "end", "n_words", "keep_doc_id", "keep_start")
+    first = materialize(first.select("digest", F.col("first.id").alias("keep_doc_id"), F.col("first.uid").alias("keep_uid"), F.col("first.start").alias("keep_start"), "n"), "first-units")
+    # a line that is very common would gather in one task, so such digests are broadcast
+    return join_counted(found, first, "digest").where("uid != keep_uid or start != keep_start").select("uid", F.col("id").alias("doc_id"), "start", "end", "n_words", "keep_doc_id", "keep_start")
 
 
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:

@@ -234,7 +234,8 @@ def test_hot_keys_join_like_others(spark):
 def test_units():
     text = "a b c d e\n short \nOne two three four five six seven eight. Nine ten eleven twelve thirteen fourteen fifteen sixteen."
     found = list(substring_dedup.units(text))
-    assert [text[a:b] for a, b, _ in found] == ["a b c d e", text.split("\n")[2], "One two three four five six seven eight.", "Nine ten eleven twelve thirteen fourteen fifteen sixteen."]
+    assert [text[a:b] for a, b, _ in found] == ["a b c d e", " short ", text.split("\n")[2], "One two three four five six seven eight.", "Nine ten eleven twelve thirteen fourteen fifteen sixteen."]
+    assert [text[a:b] for a, b, _ in substring_dedup.units(text, line_words=5, sentence_words=99)] == ["a b c d e", text.split("\n")[2]]
     assert list(substring_dedup.units(None)) == [] == list(substring_dedup.units(""))
     assert substring_dedup.without("ab\ncd\nef", [(3, 5)]) == "ab\nef" and substring_dedup.without("abcdef", [(1, 3), (2, 4)]) == "aef"
 
