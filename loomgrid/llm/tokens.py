@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-#: Chunks that a task's summary holds, that the broadcast table holds, and that a worker's cache holds in each of two generations.
+#: Chunks that a task's summary holds, and that the broadcast table holds.
 SUMMARY = 2_048
 FREQUENT = 65_536
-CACHED = 120_000
+#: Chunks and pre-tokens that a worker's caches hold in each of two generations, and the characters of the longest that
+#: they hold: text without spaces, such as base64, makes chunks of any length, which go to the library each time.
+CACHED_CHUNKS, CACHED_PIECES = 160_000, 100_000
+LONGEST = 64
 #: Distinct chunks that a task counts before it halves its counts.
 COUNTED = 400_000
 
@@ -42,6 +45,8 @@ _PLAIN = re.compile(f"[ !-~{_LATIN}]+")
 # The two tokenizers' own patterns, over ASCII and Latin-1 letters.
 _BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^ 0-9{_LATIN}]+| +(?! )| +")
 _WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^ 0-9{_LATIN}]+")
+# A sign between a word and a space, which is a pre-token of its own.
+_ENDED = re.compile("([a-z])([.,]) ")
 
 
 def tokenizer_path(name: str) -> str:
@@ -61,7 +66,7 @@ def _byte_letters() -> str:
 
 
 class _Cache(dict):
-    """A bounded cache of two generations: ``young`` is this dict; what falls out of ``old`` is made anew."""
+    """A bounded cache of two generations: ``young`` is this dict; what falls out of ``old`` is made anew, and so is what is long."""
 
     def __init__(self, make: Callable[[str], object], size: int):
         super().__init__()
@@ -71,6 +76,8 @@ class _Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > LONGEST:
+                return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -81,7 +88,7 @@ class _Cache(dict):
 class Lookup:
     """What ``digest`` makes of the ids of each chunk of a text: their number, or their bytes; ``joined`` adds up several."""
 
-    def __init__(self, name: str, digest: Callable[[list[int]], object], joined: Callable[[Iterable], object], cached: int = CACHED):
+    def __init__(self, name: str, digest: Callable[[list[int]], object], joined: Callable[[Iterable], object]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,8 +105,8 @@ class Lookup:
         self.exact = (words and pre["type"] == "Sequence") or (pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and config["normalizer"] is None)
         self.words = words
         self.letters = _byte_letters()
-        self.pieces = _Cache(self._piece, cached)
-        self.chunks = _Cache(self._chunk, cached)
+        self.pieces = _Cache(self._piece, CACHED_PIECES)
+        self.chunks = _Cache(self._chunk, CACHED_CHUNKS)
         self.frequent: dict = {}
 
     def _piece(self, piece: str) -> object:
@@ -108,6 +115,8 @@ class Lookup:
         return self.digest([t.id for t in self.model.tokenize(piece)])
 
     def _chunk(self, chunk: str) -> object:
+        if self.words and chunk.isascii() and chunk.isalpha():  # most are a word in lower case, which needs no pattern and no second cache
+            return self.digest([t.id for t in self.model.tokenize(chunk)])
         if not _PLAIN.fullmatch(chunk):
             return self.digest(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         found = _WORD_PIECES.findall(chunk.lower()) if self.words else _BYTE_PIECES.findall(chunk)
@@ -117,7 +126,13 @@ class Lookup:
         """The chunks of ``text``, or None if it must go to the library as a whole."""
         if not self.exact or any(s in text for s in self.special):
             return None
-        return text.replace("\n", " ").split(" ") if self.words else _BYTE_CHUNKS.findall(text)
+        if not self.words:
+            return _BYTE_CHUNKS.findall(text)
+        # words come to the model in lower case anyway; of letters outside ASCII the library makes what it makes of them
+        low = text.lower() if text.isascii() else text.encode().lower().decode()
+        if any(s in low for s in self.special):
+            return None
+        return _ENDED.sub(r"\1 \2 ", low.replace("\n", " ")).split(" ")
 
     def each(self, text: str) -> Iterable[object]:
         chunks = self.cut(text)
