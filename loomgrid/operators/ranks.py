@@ -7,6 +7,7 @@ and one small row for each partition carries the counts of the partitions before
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,10 +19,13 @@ _MADE: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names in spark.checkpoint.dir; a local one only where it names none."""
+    """The checkpoint folder that the session names in spark.checkpoint.dir; a local one only where it names none and runs on one machine."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or LOCAL_SCRATCH)
     return context.getCheckpointDir().get()
 
 
@@ -34,11 +38,21 @@ def scratch(df: DataFrame, label: str = "rows") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the scratch tables made so far, once the results that read them have been written; says how many."""
+def settle(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` gives, as a scratch table; the scratch tables that it took on the way are deleted."""
+    before = len(_MADE)
+    out = scratch(make(), label)
+    own = _MADE.pop()
+    release(out.sparkSession, before)
+    _MADE.append(own)
+    return out
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the scratch tables made so far (but the first ``since``), once the results that read them have been written; says how many."""
     conf, place = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     done = 0
-    while _MADE:
+    while len(_MADE) > since:
         path = place(_MADE.pop())
         done += bool(path.getFileSystem(conf).delete(path, True))
     return done
