@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained apart, both by zstandard's trainer: one on windows of ordinary documents,
-one on the spans of toxic documents that make them toxic. A text is read in windows of four words, each half over
+one on the spans of toxic documents that make them toxic. A text is read in windows of six words, each half over
 the next. A window is compressed with the ordinary dictionary, and with the toxic dictionary after the ordinary one;
 the bytes that the toxic dictionary saves are the window's distance. (With the toxic dictionary alone, the
 difference tells mostly which ordinary words either dictionary happens to hold.) The windows that save at least
@@ -44,7 +44,7 @@ _ORDINARY_COVER = {"k": 32, "d": 6}
 _TOXIC_COVER = {"k": 16, "d": 6}
 LEVEL = 3
 #: Words of a window, of a step to the next, and of a window that trains the ordinary dictionary.
-WINDOW, STEP, TAUGHT_WINDOW = 4, 2, 8
+WINDOW, STEP, TAUGHT_WINDOW = 6, 3, 8
 #: Bytes to which a toxic span is repeated before it trains.
 SPAN = 48
 #: Bytes saved among which the thresholds are chosen, and how many are.
