@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions import numeric, text
 from loomgrid.functions.scalars import blank, num
 from loomgrid.operators import columns as cols
-from loomgrid.operators import fill, fuzzy, metadata, pairwise, rows
+from loomgrid.operators import fill, fuzzy, metadata, pairwise, policy, rows
 from loomgrid.operators import profile as prof
 from loomgrid.operators.filters import filter_rows
 from loomgrid.plans.mapping import harmonize
@@ -475,9 +476,9 @@ def q55_date_components(spark, sf_dir):  # noqa: ANN001, ANN201
     return cols.with_date_parts(df, ["day"]).withColumn("written", numeric.standard_date(_c("day"), "DD/MM/YYYY")).drop("day")
 
 
-@query("SELECT p_partkey, trunc(p_retailprice)::BIGINT AS whole, p_retailprice AS price, lower(p_type) = 'true' AS flag FROM part")
+@query("SELECT p_partkey, trunc(p_retailprice)::BIGINT AS whole, p_retailprice AS price, lower(CASE WHEN p_size > 25 THEN 'TRUE' ELSE p_type END) = 'true' AS flag FROM part")
 def q56_convert_types(spark, sf_dir):  # noqa: ANN001, ANN201
-    df = _read(spark, sf_dir, "part").select("p_partkey", *[_c(c).cast("string").alias(n) for n, c in (("whole", "p_retailprice"), ("price", "p_retailprice"), ("flag", "p_type"))])
+    df = _read(spark, sf_dir, "part").select("p_partkey", *[_c("p_retailprice").cast("string").alias(n) for n in ("whole", "price")], F.when(_c("p_size") > 25, "TRUE").otherwise(_c("p_type")).alias("flag"))
     done = cols.convert_types(df, {"whole": "integer", "price": "float", "flag": "boolean"})
     return done.select("p_partkey", _c("whole").cast("bigint").alias("whole"), _c("price").cast("double").alias("price"), _c("flag").cast("boolean").alias("flag"))
 
@@ -512,3 +513,91 @@ def q61_cleaning_pipeline(spark, sf_dir):  # noqa: ANN001, ANN201
     df = _read(spark, sf_dir, "lineitem").withColumn("id", _c("l_orderkey") * 10 + _c("l_linenumber"))
     options = CleaningOptions(remove_empty_rows=True, remove_duplicates=True, replace_values=True, replacement_map={"R": "returned"}, fill_missing_values=True, fill_strategy="constant", fill_constant_value="?", trim_whitespace=True, standardize_case=True, case_mode="upper", standardize_dates=True, remove_leading_zeros=True, merge_columns=True, columns_to_merge=["l_returnflag", "l_linestatus"], merged_column_name="flags", normalize_data=True, normalize_columns=["l_extendedprice"], bin_data=True, bin_column="l_quantity", bin_edges=[0, 10, 25, 50], merge_similar_values=True, fuzzy_match_columns=["l_returnflag"])
     return clean(df, options, "id")
+
+
+@query("""SELECT 'no operator' AS rule, c_custkey FROM customer UNION ALL SELECT 'categorical equal', c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'
+    UNION ALL SELECT 'missing cell', c_custkey FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey < 50""")
+def q62_filter_edges(spark, sf_dir):  # noqa: ANN001, ANN201
+    df = _read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").withColumn("gap", F.when(_c("c_custkey") % 3 != 0, _c("c_custkey").cast("string")))
+    only = lambda column, *conditions: {"operator": "AND", "conditions": {column: {"conditions": list(conditions), "operators": []}}}
+    trees = {
+        "no operator": {"conditions": {"c_mktsegment": "none"}}, "unknown operator": {"operator": "XOR", "conditions": {"c_mktsegment": "BUILDING"}}, "empty chain": only("c_mktsegment"),
+        "categorical equal": only("c_mktsegment", _condition("equal", "categorical", "BUILDING")), "categorical greater": only("c_mktsegment", _condition("greater", "categorical", "A")),
+        "missing cell": only("gap", _condition("less", "continuous", 50)), "missing column": only("none", _condition("less", "continuous", 50)), "unknown kind": only("gap", _condition("less", "other", 50)),
+    }
+    out = None
+    for rule, tree in trees.items():
+        kept = filter_rows(df, tree).select(F.lit(rule).alias("rule"), "c_custkey")
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
+@query(f"SELECT event_id, {_GAPS} AS value, event_type FROM events")
+def q63_unknown_modes_change_nothing(spark, sf_dir):  # noqa: ANN001, ANN201
+    df = fill.fill_missing(_gaps(spark, sf_dir), "guess", ["value"])
+    return df.select("event_id", "value", text.case(_c("event_type"), "shout").alias("event_type"))
+
+
+@query("""WITH b AS (SELECT DISTINCT p_brand AS v FROM part UNION SELECT n_name FROM nation UNION SELECT 'ab'),
+    g AS (SELECT v, CASE WHEN length(v) < 3 THEN [v] ELSE list_distinct(list_transform(range(1, length(v) - 1), lambda i: substr(v, i::INTEGER, 3))) END AS t FROM b)
+    SELECT x.v AS a, y.v AS b, round(len(list_intersect(x.t, y.t)) / (sqrt(len(x.t)) * sqrt(len(y.t))), 4) AS cosine FROM g x JOIN g y ON x.v < y.v""")
+def q64_trigram_cosine(spark, sf_dir):  # noqa: ANN001, ANN201
+    names = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("a")).union(_read(spark, sf_dir, "nation").select("n_name")).union(spark.createDataFrame([("ab",)], "a string")).distinct()
+    pairs = names.join(F.broadcast(names.withColumnRenamed("a", "b")), F.col("a") < F.col("b"))  # the query is about all pairs of the few names
+    return _rounded(pairs.select("a", "b", fuzzy.cosine_similarity(_c("a"), _c("b")).alias("cosine")))
+
+
+_SHORT = r"regexp_replace(regexp_replace(printf('%.2f', {x}), '(\.\d*?)0+$', '\1'), '\.$', '')"
+
+
+@query(f"""WITH r AS ({_RANKED.format(x='l_quantity', t='lineitem')}), s AS (SELECT min(x) AS lo, max(x) AS hi, max(n) AS n, {_QUARTILES} FROM r),
+    w AS (SELECT lo, hi, greatest(2 * (q3 - q1) / cbrt(n), (hi - lo) / 10) AS width FROM s), b AS (SELECT *, unnest(range(0, ceil((hi - lo) / width)::INTEGER))::INTEGER AS bin FROM w)
+    SELECT bin, '[' || {_SHORT.format(x='lo + bin * width')} || ' - ' || {_SHORT.format(x='lo + (bin + 1) * width')} || ']' AS label FROM b""")
+def q65_histogram_labels(spark, sf_dir):  # noqa: ANN001, ANN201
+    return prof.histogram(_read(spark, sf_dir, "lineitem", "l_quantity"), _c("l_quantity")).select("bin", "label")
+
+
+@query(f"SELECT 'value' AS feature, round(count(*) FILTER (WHERE v IS NULL) / count(*) * 100, 4) AS percent_missing FROM (SELECT {_GAPS} AS v FROM events)")
+def q66_percent_missing(spark, sf_dir):  # noqa: ANN001, ANN201
+    counts = prof.missing_counts(prof.typed_cells(_gaps(spark, sf_dir), "event_id", ["value"]))
+    return counts.select("feature", F.round(_c("missing") / (_c("missing") + _c("present")) * 100, 4).alias("percent_missing"))
+
+
+@query("SELECT min(p_partkey) AS p_partkey, p_brand, p_size FROM part GROUP BY p_brand, p_size")
+def q67_first_of_equal_rows(spark, sf_dir):  # noqa: ANN001, ANN201
+    return rows.remove_duplicates(_read(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size"), "p_partkey")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 2 THEN '12abc' ELSE event_id::VARCHAR END AS cell FROM events WHERE event_id % 5 IN (2, 3)")
+def q68_rows_that_go(spark, sf_dir):  # noqa: ANN001, ANN201
+    kind, number = _c("event_id") % 5, _c("event_id").cast("string")
+    cell = F.when(kind == 0, " ").when(kind == 1, "abc").when(kind == 2, "12abc").when(kind == 3, number).otherwise(F.concat(number, F.lit(" gone")))
+    df = rows.remove_empty_rows(_read(spark, sf_dir, "events", "event_id").withColumn("cell", cell), ("event_id",))
+    return rows.keep_only_numeric_rows(rows.remove_rows_with_pattern(df, "cell", "gone$"), ["cell"])
+
+
+@query("SELECT 'p_brand=' || p_brand || '|p_size=' || p_size AS key, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand, p_size")
+def q69_dedupe_key(spark, sf_dir):  # noqa: ANN001, ANN201
+    df = _read(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand").withColumn("key", rows.dedupe_key(["p_size", "p_brand"]))
+    return rows.first_rows(df, ["key"], ["p_partkey"]).select("key", "p_partkey")
+
+
+@query(r"SELECT n_nationkey, regexp_replace(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS dataset FROM nation")
+def q70_logical_ids(spark, sf_dir):  # noqa: ANN001, ANN201
+    name = F.concat(F.when(_c("n_nationkey") % 2 == 0, "parsed_").otherwise(""), "n_name", F.lit(".csv"))
+    return _read(spark, sf_dir, "nation").select("n_nationkey", policy.logical_id(name).alias("dataset"))
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey = 2 AND n_name <> 'CHINA'")
+def q71_shared_files(spark, sf_dir):  # noqa: ANN001, ANN201
+    files = _read(spark, sf_dir, "nation").select(F.sha2("n_name", 256).alias("fingerprint"), F.concat(F.lit("r"), "n_regionkey").alias("dataset"), F.col("n_name").alias("name"))
+    manifest = policy.share(policy.share(spark.createDataFrame([], policy.MANIFEST), files, "r1"), files, "r2")
+    manifest = policy.deleted(policy.unshare(manifest, "r1"), hashlib.sha256(b"CHINA").hexdigest())
+    return policy.downloadable(files, manifest).select("name")
+
+
+@query(f"""WITH c AS (SELECT l_orderkey, l_linenumber, (l_extendedprice * l_extendedprice * l_extendedprice) * (l_extendedprice * l_extendedprice * l_extendedprice) AS x FROM lineitem), s AS (SELECT {_QUARTILES} FROM ({_RANKED.format(x='x', t='c')}))
+    SELECT l_orderkey, l_linenumber FROM c, s WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)""")
+def q72_outliers_of_a_skewed_column(spark, sf_dir):  # noqa: ANN001, ANN201
+    cube = _c("l_extendedprice") * _c("l_extendedprice") * _c("l_extendedprice")
+    return prof.outliers(_read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice"), cube * cube, ["l_orderkey", "l_linenumber"]).drop("value")
