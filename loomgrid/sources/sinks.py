@@ -58,9 +58,11 @@ def write_file(df: DataFrame, path: str, sep: str = ";", keep_if_empty: bool = T
     ordered.coalesce(1).write.option("sep", sep).option("header", True).option("emptyValue", "").option("nullValue", "").option("quote", '"').option("escape", '"').csv(work)
     parts = [s.getPath() for s in fs.listStatus(place(work)) if s.getPath().getName().startswith("part-")]
     target = place(path)
-    if parts:
-        fs.delete(target, False)
-        fs.rename(parts[0], target)
+    if parts:  # the new file takes the old one's place in one step, so that there's always one of them
+        kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        instead = df.sparkSession.sparkContext._gateway.new_array(kinds, 1)
+        instead[0] = kinds.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(parts[0]), fs.makeQualified(target), instead)
     fs.delete(place(work), True)
     return True
 

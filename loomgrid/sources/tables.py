@@ -46,11 +46,14 @@ def detect_delimiter(lines: list[str]) -> str:
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """A delimited file: the first record names the columns, all cells are text, surrounding space is cut.
 
-    Quoted cells may hold line breaks. Short records are filled with nulls; empty lines are skipped. Column
+    Quoted cells may hold line breaks; a file with any line of an odd number of quotes is read as a whole by one task,
+    and one without is read in pieces. Short records are filled with nulls; empty lines are skipped. Column
     ``__row`` numbers the rows of a file in its order.
     """
     sep = delimiter or detect_delimiter(_head(spark, path, 5))
-    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE")
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    broken = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", broken).option("mode", "PERMISSIVE")
     reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
     return reader.csv(path).withColumn(ROW, F.monotonically_increasing_id())
 

@@ -189,3 +189,24 @@ def test_forced_features(spark, tmp_path):
     assert "dates" in api.reprofile_file(spark, path, "d", "continuous") and "categories" in api.reprofile_file(spark, path, "t", "categorical")
     assert api.reprofile_file(spark, path, "u", "categorical") == "This field cannot be converted to categorical."
     assert api.reprofile_file(spark, path, "none", "categorical") == "No feature none"
+
+
+def test_large_csv_is_read_in_pieces(spark, tmp_path):
+    path = tmp_path / "many.csv"
+    path.write_text("a,b\n" + "".join(f"{k},x{k}\n" for k in range(50_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        df = tables.read_csv(spark, str(path))
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 50_000
+        assert [r.a for r in df.orderBy(tables.ROW).limit(3).collect()] == ["0", "1", "2"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    path.write_text('a,b\n1,"two\nlines"\n')
+    assert [(r.a, r.b) for r in tables.read_csv(spark, str(path)).collect()] == [("1", "two\nlines")]
+
+
+def test_a_written_file_replaces_the_old_one(spark, tmp_path):
+    path = tmp_path / "out.csv"
+    path.write_text("old")
+    assert sinks.write_file(spark.createDataFrame([("1",)], "a string"), str(path))
+    assert path.read_text() == "a\n1\n" and [p.name for p in tmp_path.iterdir() if p.suffix == ".tmp"] == []
