@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +12,7 @@ from loomgrid.operators.profile import CATEGORY, DATE, NUMBER, feature_name, pro
 from loomgrid.plans.cleaning import CleaningOptions, clean
 from loomgrid.plans.mapping import clean_for_mapping, harmonize
 from loomgrid.sources import sinks
-from loomgrid.sources.tables import ROW, is_huge, read_table
+from loomgrid.sources.tables import ROW, exists, is_huge, read_table
 from loomgrid.streaming.jobs import Jobs
 
 
@@ -79,9 +80,12 @@ def clean_file(spark: SparkSession, path: str, options: CleaningOptions | dict,
 
 
 def harmonize_files(spark: SparkSession, paths: list[str], spec: dict, options: CleaningOptions | None = None, semantics: str = "reference", report=lambda percent, message="": None) -> list[str]:  # noqa: ANN001
-    """Writes parsed_<stem>.csv for each file and returns the paths; the first four cleaning switches apply before the mapping."""
+    """Writes parsed_<stem>.csv for each file that exists and returns the paths; the first four cleaning switches apply before the mapping."""
     options, out = options or CleaningOptions(), []
     for k, path in enumerate(paths):
+        if not exists(spark, path):
+            warnings.warn(f"{path} doesn't exist and is left out", stacklevel=2)
+            continue
         table = clean_for_mapping(read_table(spark, path), ROW, options.remove_empty_rows, options.remove_duplicates)
         if options.standardize_dates or options.standardize_numeric:
             table = clean(table, CleaningOptions(standardize_dates=options.standardize_dates, date_output_format=options.date_output_format, standardize_numeric=options.standardize_numeric, numeric_columns=options.numeric_columns, numeric_mode=options.numeric_mode), ROW)

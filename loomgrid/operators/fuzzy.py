@@ -1,7 +1,8 @@
 """Similarity of texts, and merging of similar values.
 
 Merging is greedy in the order in which values first occur, so it is sequential by its definition. It runs on the
-distinct values of a column only, one column a task, and stops with an error beyond a stated number of values.
+distinct values of a column only. Up to a stated number of values a column is one task. Beyond it, blocks of that many
+values open groups one after another, and the values behind each block are compared with its groups all over the cluster.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.scalars import blank, jtrim
 
-#: Distinct values of a column that a merge takes; more is an error, never a partial result.
+#: Distinct values of a column that one task merges; more go in blocks of this size.
 MOST_VALUES = 20_000
+SALTS = 32
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -96,6 +98,58 @@ def similarity(a: str, b: str, algorithm: str, threshold: float) -> float:
     return 1 - _edit_distance(a, b, most) / size
 
 
+def seeded(forms: list[str], algorithm: str, threshold: float) -> list[int]:
+    """The place of the seed that each form falls to: the first earlier seed that is similar to it, else itself."""
+    seeds: list[int] = []
+    out = []
+    for k, form in enumerate(forms):
+        own = next((s for s in seeds if similarity(forms[s], form, algorithm, threshold) >= threshold), k)
+        if own == k:
+            seeds.append(k)
+        out.append(own)
+    return out
+
+
+def _seeds_in_blocks(values: DataFrame, algorithm: str, threshold: float, most: int) -> DataFrame:
+    """(value, at, n, seed) for any number of values: the order number of the seed that each falls to.
+
+    A round takes the first ``most`` values that have no seed, finds the seeds among them in one task, and gives the rest of
+    the cluster's values the first of these seeds that is similar. Each pair of a value and a seed is compared once at most.
+    """
+    from loomgrid.operators.ranks import numbered, scratch
+
+    rest = scratch(numbered(values, ["at", "value"], "place"))
+    out = None
+    while True:
+        block = rest.orderBy("place").limit(most).toPandas()  # `most` rows at most
+        if not len(block):
+            break
+        block["seed"] = [int(block["place"].iloc[k]) for k in seeded(list(block["form"]), algorithm, threshold)]
+        opened = block[block["seed"] == block["place"]]
+        seeds, last = list(zip(opened["place"].astype(int), opened["form"])), int(block["place"].iloc[-1])
+        known = values.sparkSession.createDataFrame([(int(p), int(s)) for p, s in zip(block["place"], block["seed"])], "place bigint, seed bigint")
+
+        def find(frames, seeds=seeds):  # noqa: ANN001, ANN202
+            for frame in frames:
+                own = [next((p for p, f in seeds if similarity(f, form, algorithm, threshold) >= threshold), None) for form in frame["form"]]
+                yield frame.assign(seed=pd.array(own, dtype="Int64"))
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields) + ", seed bigint"
+        later = scratch(rest.where(F.col("place") > last).repartition("place").mapInPandas(find, schema))
+        done = rest.where(F.col("place") <= last).join(F.broadcast(known), "place").unionByName(later.where("seed is not null"))  # `most` rows at most
+        out = done if out is None else out.unionByName(done)
+        rest = later.where("seed is null").drop("seed")
+    return out if out is not None else rest.withColumn("seed", F.col("place"))
+
+
+def _canonical_of_groups(members: DataFrame, prefer: str) -> DataFrame:
+    """(value, canonical) from (value, at, n, seed): one member of each group of several stands for all; ties go to the first."""
+    first = [F.col("at"), F.col("value")]
+    order = {"most_frequent": [-F.col("n"), *first], "shortest": [F.length("value"), *first], "longest": [-F.length("value"), *first], "alphabetical": [F.col("value")]}.get(prefer, first)
+    best = members.groupBy("seed").agg(F.min_by("value", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])).alias("canonical"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return members.join(best, "seed").select("value", "canonical")
+
+
 def merged_values(values: list[tuple[str, str, int]], algorithm: str, threshold: float, prefer: str) -> dict[str, str]:
     """What each value becomes: (value, normal form, count of the form) in the order of first occurrence.
 
@@ -143,14 +197,22 @@ def merge_similar_values(df: DataFrame, columns: list[str], order: str, algorith
         values = counts.withColumn("n", F.sum("n").over(Window.partitionBy("form"))).withColumn("column", F.lit(column))
 
         def group(frame: pd.DataFrame) -> pd.DataFrame:
-            if len(frame) > most:
-                raise ValueError(f"{len(frame)} distinct values; merging similar values takes {most} at most")
             frame = frame.sort_values(["at", "value"])
             found = merged_values(list(zip(frame["value"], frame["form"], frame["n"])), algorithm, threshold, prefer)
             return pd.DataFrame({"value": list(found), "canonical": list(found.values())}, dtype=object)
 
-        table = values.groupBy("column").applyInPandas(group, "value string, canonical string")
-        own = table.select(F.col("value").alias(f"__value{k}"), F.col("canonical").alias(f"__canonical{k}"))
-        joined = out.join(F.broadcast(own), F.col(f"`{column}`").cast("string") == F.col(f"__value{k}"), "left")  # at most `most` rows
+        from loomgrid.operators.ranks import scratch
+
+        values = scratch(values)
+        values_fit = values.count() <= most
+        if values_fit:
+            table = values.groupBy("column").applyInPandas(group, "value string, canonical string")
+        else:
+            table = _canonical_of_groups(_seeds_in_blocks(values.drop("column"), algorithm, threshold, most), prefer)
+        # a value may fill a third of the rows: beyond a broadcast its rows go to several tasks
+        salts = 1 if values_fit else SALTS
+        own = table.select(F.col("value").alias(f"__value{k}"), F.col("canonical").alias(f"__canonical{k}"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(f"__salt{k}"))
+        own = F.broadcast(own) if values_fit else own  # at most `most` rows
+        joined = out.join(own, (F.col(f"`{column}`").cast("string") == F.col(f"__value{k}")) & (F.pmod(F.xxhash64(F.col(f"`{order}`")), F.lit(salts)) == F.col(f"__salt{k}")), "left")
         out = joined.select(*[F.coalesce(F.col(f"__canonical{k}"), F.col(f"`{c}`")).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
     return out

@@ -297,17 +297,73 @@ def additional_properties(triples: DataFrame, known: list[str]) -> DataFrame:
     return rest.groupBy("s").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
 
 
-def closure(triples: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
-    """(start, s, p, o, kind, level): what the starts and the blank nodes below them say, down to ``depth``, without cycles."""
+def closure(triples: DataFrame, starts: DataFrame, depth: int = 3, kinds: tuple[str, ...] = ("blank",)) -> DataFrame:
+    """(start, s, p, o, kind, level): what the starts and the nodes of ``kinds`` below them say, down to ``depth``, without cycles."""
     step = triples.join(starts.select(F.col("s").alias("start"), "s"), "s").select("start", "s", "p", "o", "kind", F.lit(0).alias("level"), F.array("s").alias("seen"))
     out = step
     for level in range(1, depth + 1):
-        below = step.where("kind = 'blank' and not array_contains(seen, o)").select("start", F.col("o").alias("s"), F.concat("seen", F.array("o")).alias("seen")).distinct()
+        below = step.where(F.col("kind").isin(*kinds) & ~F.array_contains("seen", F.col("o"))).select("start", F.col("o").alias("s"), F.concat("seen", F.array("o")).alias("seen")).distinct()
         step = triples.join(below, "s").select("start", "s", "p", "o", "kind", F.lit(level).alias("level"), "seen")
         out = out.unionByName(step)
     return out.drop("seen").distinct()
 
 
+def short_name(uri: str) -> str:
+    """:func:`compact` of one address."""
+    return next((f"{prefix}:{uri[len(space) :]}" for prefix, space in reversed(PREFIXES.items()) if uri.startswith(space)), uri)
+
+
+def add_value(target: dict, key: str, value: object) -> None:
+    """One value stays as it is, several become a list."""
+    if key not in target:
+        target[key] = value
+    elif isinstance(target[key], list):
+        target[key].append(value)
+    else:
+        target[key] = [target[key], value]
+
+
+def expanded(value: str, kind: str, said: dict[str, list[tuple[str, str, str]]], depth: int = 3, seen: set[str] | None = None) -> object:
+    """A node as nested objects: what ``said`` tells of it, ``depth`` levels down; a node that was seen before is its name.
+
+    Properties come in the order of their addresses, values in their own order.
+    """
+    seen = set() if seen is None else seen
+    if kind == "literal" or depth == 0 or value in seen:
+        return value
+    seen.add(value)
+    rows = said.get(value, [])
+    if not rows:
+        return value
+    out: dict = {"uri": value} if kind == "uri" else {}
+    for p, o, what in sorted(rows):
+        add_value(out, short_name(p), expanded(o, what, said, depth - 1, seen))
+    return out
+
+
+def nested_properties(triples: DataFrame, known: list[str], depth: int = 3) -> DataFrame:
+    """(s, properties): what each dataset's description says beyond the known names, as JSON with nested objects.
+
+    A task holds the surroundings of one description, ``depth`` links far.
+    """
+    around = closure(triples, subjects_of_type(triples), depth, ("blank", "uri"))
+
+    def objects(frame):  # noqa: ANN001, ANN202
+        import json
+
+        import pandas as pd
+
+        start, said, out = frame["start"].iloc[0], {}, {}
+        for s, p, o, kind in sorted(set(zip(frame["s"], frame["p"], frame["o"], frame["kind"]))):
+            said.setdefault(s, []).append((p, o, kind))
+        for p, o, kind in said.get(start, []):
+            if p != TYPE and re.split(r"[#/]", p)[-1] not in known:
+                add_value(out, short_name(p), expanded(o, kind, said, depth))
+        return pd.DataFrame({"s": [start], "properties": [json.dumps(out, ensure_ascii=False, sort_keys=True)]})
+
+    return around.groupBy("start").applyInPandas(objects, "s string, properties string")
+
+
 def datasets(triples: DataFrame) -> DataFrame:
     """One row for each described dataset: (s, title, description, version, issued, modified, publisher, themes, keywords, distributions, variables)."""
     out = subjects_of_type(triples)

@@ -38,6 +38,13 @@ def scratch(df: DataFrame, label: str = "rows") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, label: str = "files") -> str:
+    """A folder of its own in the scratch folder, which :func:`release` deletes with the tables."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
 def settle(make: Callable[[], DataFrame], label: str) -> DataFrame:
     """What ``make`` gives, as a scratch table; the scratch tables that it took on the way are deleted."""
     before = len(_MADE)

@@ -488,9 +488,14 @@ def q57_normalize_unicode(spark, sf_dir):  # noqa: ANN001, ANN201
     return _texts(spark, sf_dir, lambda c: text.unicode_form(c, "NFC"))
 
 
-@query()
+#: Customers' names with signs whose UTF-8 bytes were read as Windows-1252, and what was meant.
+_MISREAD, _MEANT = "MÃ¼ller, JosÃ© â€“ ", "Müller, José – "
+
+
+@query(f"SELECT doc_id AS id, text FROM documents UNION ALL SELECT -c_custkey, '{_MEANT}' || c_name FROM customer")
 def q58_fix_encoding(spark, sf_dir):  # noqa: ANN001, ANN201
-    return _texts(spark, sf_dir, text.fix_encoding)
+    names = _read(spark, sf_dir, "customer").select((-_c("c_custkey")).alias("id"), text.fix_encoding(F.concat(F.lit(_MISREAD), "c_name")).alias("text"))
+    return _texts(spark, sf_dir, text.fix_encoding).withColumnRenamed("doc_id", "id").unionByName(names)
 
 
 @query("SELECT s_suppkey, count(*) AS n FROM supplier WHERE trim(s_name) <> '' GROUP BY s_suppkey")
@@ -588,11 +593,11 @@ def q70_logical_ids(spark, sf_dir):  # noqa: ANN001, ANN201
     return _read(spark, sf_dir, "nation").select("n_nationkey", policy.logical_id(name).alias("dataset"))
 
 
-@query("SELECT n_name AS name FROM nation WHERE n_regionkey = 2 AND n_name <> 'CHINA'")
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey = 2 AND n_name <> 'NATION_7'")
 def q71_shared_files(spark, sf_dir):  # noqa: ANN001, ANN201
     files = _read(spark, sf_dir, "nation").select(F.sha2("n_name", 256).alias("fingerprint"), F.concat(F.lit("r"), "n_regionkey").alias("dataset"), F.col("n_name").alias("name"))
     manifest = policy.share(policy.share(spark.createDataFrame([], policy.MANIFEST), files, "r1"), files, "r2")
-    manifest = policy.deleted(policy.unshare(manifest, "r1"), hashlib.sha256(b"CHINA").hexdigest())
+    manifest = policy.deleted(policy.unshare(manifest, "r1"), hashlib.sha256(b"NATION_7").hexdigest())
     return policy.downloadable(files, manifest).select("name")
 
 

@@ -24,8 +24,9 @@ def parsed_path(path: str) -> str:
 
 
 def elements_name(name: str) -> str:
-    stem = re.sub(r"[^a-zA-Z0-9._-]", "_", posixpath.splitext(posixpath.basename(name))[0])
-    return f"{stem}_elements.csv"
+    """The name of a dataset's dictionary of elements: other signs than letters, digits, dots, hyphens and underscores become underscores."""
+    safe = re.sub(r"[^a-zA-Z0-9._-]", "_", name)
+    return re.sub(r"(?i)\.(csv|xlsx)$", "", safe) + "_elements.csv"
 
 
 def _file_system(df: DataFrame, path: str):  # noqa: ANN202
@@ -55,7 +56,8 @@ def write_file(df: DataFrame, path: str, sep: str = ";", keep_if_empty: bool = T
         out.close()
         return True
     ordered = table if ROW not in df.columns else df.orderBy(ROW).drop(ROW)
-    ordered.coalesce(1).write.option("sep", sep).option("header", True).option("emptyValue", "").option("nullValue", "").option("quote", '"').option("escape", '"').csv(work)
+    blank = "" if len(table.columns) > 1 else '""'  # an empty line would be no row
+    ordered.coalesce(1).write.option("sep", sep).option("header", True).option("emptyValue", blank).option("nullValue", blank).option("quote", '"').option("escape", '"').csv(work)
     parts = [s.getPath() for s in fs.listStatus(place(work)) if s.getPath().getName().startswith("part-")]
     target = place(path)
     if parts:  # the new file takes the old one's place in one step, so that there's always one of them
@@ -67,6 +69,16 @@ def write_file(df: DataFrame, path: str, sep: str = ";", keep_if_empty: bool = T
     return True
 
 
+def write_elements(folder: str, name: str, text: str, like: DataFrame) -> str:
+    """Writes a dataset's dictionary of elements as it is given and returns its path."""
+    path = posixpath.join(folder, elements_name(name))
+    fs, place, _, _ = _file_system(like, path)
+    out = fs.create(place(path), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return path
+
+
 def write_json(path: str, manifest: dict, like: DataFrame) -> None:
     """A small manifest as one JSON file."""
     fs, place, _, _ = _file_system(like, path)

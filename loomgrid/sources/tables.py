@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.scalars import all_of, any_of, blank
 from loomgrid.operators.filters import filter_rows
+from loomgrid.sources.display import GENERAL, display, number_formats
 
 EXTENSIONS = ("csv", "tsv", "xlsx", "ttl")
 #: What no screened text may contain.
@@ -23,6 +24,7 @@ _SCREENED = ("csv", "txt", "log")
 _WINDOW = 4096
 HUGE_BYTES, HUGE_ROWS = 1_000_000, 5_000
 ROW = "__row"
+_NUMBER = re.compile(r"-?\d+(\.\d*)?([eE][+-]?\d+)?")
 
 
 class Refused(ValueError):
@@ -66,15 +68,19 @@ def _column_number(reference: str) -> int:
 
 
 def sheets_of(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
-    """(name, rows of cells) of each sheet of a workbook; a number has a decimal comma, a missing cell is empty."""
+    """(name, rows of cells) of each sheet of a workbook; numbers and dates as their formats show them, a missing cell is empty."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = set(book.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", ns)]
+        formats = number_formats(book.read("xl/styles.xml") if "xl/styles.xml" in names else None)
         targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels")).findall("p:Relationship", ns)}
-        for sheet in ET.fromstring(book.read("xl/workbook.xml")).find("m:sheets", ns):
+        root = ET.fromstring(book.read("xl/workbook.xml"))
+        settings = root.find("m:workbookPr", ns)
+        since_1904 = settings is not None and settings.get("date1904") in ("1", "true")
+        for sheet in root.find("m:sheets", ns):
             target = targets[sheet.get(f"{{{ns['r']}}}id")]
             place = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             rows: list[list[str]] = []
@@ -91,8 +97,11 @@ def sheets_of(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
                         cells[at] = shared[int(value)]
                     elif kind == "b":
                         cells[at] = "TRUE" if value == "1" else "FALSE"
+                    elif kind in (None, "n") and _NUMBER.fullmatch(value):
+                        style = int(cell.get("s") or 0)
+                        cells[at] = display(float(value), formats[style] if style < len(formats) else GENERAL, since_1904)
                     else:
-                        cells[at] = value.replace(".", ",") if kind in (None, "n") and re.fullmatch(r"-?\d+\.\d+", value) else value
+                        cells[at] = value
                 rows.append([cells.get(i, "").strip() for i in range(max(cells, default=-1) + 1)])
             yield sheet.get("name"), rows
 
@@ -154,9 +163,21 @@ def passes_screen(spark: SparkSession, path: str) -> bool:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, path, size, modified) of a folder's files, by name whatever the case; contents aren't read."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return files.orderBy(F.lower("name"), "name")
+    """(name, path, size, created, modified) of a folder's files, by name whatever the case; contents aren't read.
+
+    Only local file systems tell when a file was made; elsewhere ``created`` is ``modified``.
+    """
+    files = spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    nio = spark._jvm.java.nio.file
+    born = []
+    for row in files.where(F.startswith("path", F.lit("file:"))).select("path").collect():  # a listing, which the driver makes anyway
+        place = nio.Paths.get(spark._jvm.org.apache.hadoop.fs.Path(row["path"]).toUri().getPath(), spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 0))
+        time = nio.Files.getAttribute(place, "creationTime", spark.sparkContext._gateway.new_array(nio.LinkOption, 0))
+        born.append((row["path"], time.toMillis()))
+    made = spark.createDataFrame(born, "path string, born bigint")
+    files = files.join(F.broadcast(made), "path", "left")  # a row for each listed file of this machine
+    out = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "size", F.coalesce(F.timestamp_millis("born"), "modified").alias("created"), "modified")
+    return out.orderBy(F.lower("name"), "name")
 
 
 def first_metadata(files: DataFrame, managed: str = "catalog.ttl") -> DataFrame:
@@ -166,6 +187,11 @@ def first_metadata(files: DataFrame, managed: str = "catalog.ttl") -> DataFrame:
     return files.orderBy(rank, F.lower("name")).limit(1)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def estimated_rows(spark: SparkSession, path: str) -> int:
     """Line breaks less one of a delimited file; for a workbook, the rows that the sheets' dimension tags announce."""
     if extension(path) != "xlsx":

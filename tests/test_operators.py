@@ -96,8 +96,21 @@ def test_fuzzy_merge(spark):
     assert merged(spark, ["NY", "N.Y.", "N.Y"], threshold=0.65, prefer="longest") == ["N.Y", "N.Y.", "N.Y"]
     assert merged(spark, ["iPhone", "iPad", ""], threshold=0.99) == ["iPhone", "iPad", ""]
     assert len(set(merged(spark, ["Software Engineer", "Software Eng", "Hardware Engineer"], algorithm="cosine", threshold=0.7))) == 1
-    with pytest.raises(Exception, match="distinct values"):
-        merged(spark, ["a", "b", "c"], most=2)
+
+
+def test_merge_in_blocks_gives_what_one_task_gives(spark):
+    import random
+
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcd") for _ in range(draw.randint(3, 6))) for _ in range(120)]
+    values = [draw.choice(words) for _ in range(300)]
+    for prefer in ("most_frequent", "longest", "first", "alphabetical"):
+        for algorithm in ("levenshtein", "jaro_winkler"):
+            options = {"algorithm": algorithm, "threshold": 0.7, "prefer": prefer}
+            if prefer != "most_frequent" and algorithm == "jaro_winkler":
+                continue
+            assert merged(spark, values, most=40, **options) == merged(spark, values, **options)
+    assert merged(spark, ["", None], most=0) == ["", None]
 
 
 def test_banded_distance_is_exact():

@@ -7,7 +7,7 @@ from pathlib import Path
 
 import pytest
 
-from loomgrid.plans.queries import ORACLES, QUERIES
+from loomgrid.plans.file_queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]

@@ -210,3 +210,43 @@ def test_a_written_file_replaces_the_old_one(spark, tmp_path):
     path.write_text("old")
     assert sinks.write_file(spark.createDataFrame([("1",)], "a string"), str(path))
     assert path.read_text() == "a\n1\n" and [p.name for p in tmp_path.iterdir() if p.suffix == ".tmp"] == []
+
+
+def test_displayed_numbers():
+    from loomgrid.sources.display import BUILT_IN, GENERAL, display, is_date_format
+
+    wanted = [
+        (1.5, GENERAL, "1,5"), (1 / 3, GENERAL, "0,3333333333"), (1e12, GENERAL, "1E12"), (45322, "m/d/yy", "1/31/24"), (45322.5, "dd.mm.yyyy hh:mm", "31.01.2024 12:00"), (45322.75, "[$-407]d. mmmm yyyy;@", "31. Januar 2024"),
+        (45322.6, "h:mm AM/PM", "2:24 PM"), (1.5, "[h]:mm:ss", "36:00:00"), (0.1234, "0.00%", "12,34%"), (1234567.891, "#,##0.00", "1.234.567,89"), (-1234.5, "#,##0.00_);(#,##0.00)", "(1.234,50)"),
+        (1.25, '0.0" kg"', "1,3 kg"), (0.00012345, "0.00E+00", "1,23E-04"), (3, "000", "003"), (-0.001, "0.00", "0,00"), (59, "d.m.yyyy", "28.2.1900"), (0.5, "# ?/?", "0,5"), (-1, "m/d/yy", "-1"),
+    ]
+    assert [display(v, c) for v, c, _ in wanted] == [t for _, _, t in wanted]
+    assert display(0, "yyyy-mm-dd", since_1904=True) == "1904-01-01"
+    assert {k for k, c in BUILT_IN.items() if is_date_format(c)} == {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def test_nested_properties(spark, tmp_path):
+    import json
+
+    put(tmp_path / "m.ttl", TURTLE + "<http://x/d1> <http://other/near> [ dct:title 'a', 'b' ; dct:relation <http://x/dist1> ; dct:source <http://x/d1> ] .")
+    found = metadata.nested_properties(metadata.read_triples(spark, str(tmp_path / "m.ttl")), ["title", "keyword", "distribution"]).collect()
+    said = json.loads(found[0].properties)
+    assert len(found) == 1 and said["http://other/extra"] == "5" and said["dct:publisher"] == {"dct:title": "P", "dct:type": {"dct:title": "deep"}}
+    near = said["http://other/near"]
+    assert near["dct:title"] == ["a", "b"] and near["dct:relation"] == {"uri": "http://x/dist1", "rdf:type": f"{metadata.DCAT}Distribution", "dcat:mediaType": "text/csv"}
+    assert near["dct:source"]["uri"] == "http://x/d1" and "_:" in str(near["dct:source"]["http://other/near"])  # seen before: only its name
+    said = {"a": [("p", "b", "blank")], "b": [("p", "c", "blank")], "c": [("p", "d", "blank")], "d": [("p", "e", "literal")]}
+    assert metadata.expanded("a", "blank", said) == {"p": {"p": {"p": "d"}}}
+
+
+def test_files_that_are_missing_are_left_out(spark, tmp_path):
+    path = put(tmp_path / "t.csv", "a\n1\n")
+    spec = {"mappings": [{"targetField": "a", "inputs": [{"sourceId": "n::t.csv", "column": "a"}], "rules": []}]}
+    with pytest.warns(UserWarning, match="left out"):
+        assert api.harmonize_files(spark, [str(tmp_path / "none.csv"), path], spec) == [str(tmp_path / "parsed_t.csv")]
+
+
+def test_written_elements_and_listed_times(spark, tmp_path):
+    assert sinks.write_elements(str(tmp_path), "a b.XLSX", "x;y\n", spark.range(1)) == str(tmp_path / "a_b_elements.csv")
+    (row,) = tables.list_files(spark, str(tmp_path)).collect()
+    assert (row.name, row.size) == ("a_b_elements.csv", 4) and abs((row.created - row.modified).total_seconds()) < 60
