@@ -374,14 +374,14 @@ def q97_pairs_of_too_few_rows(spark, sf_dir):  # noqa: ANN001, ANN201
     return out
 
 
-_KINDS = """v AS (SELECT p_type AS v, min(p_partkey) AS pos, count(*) AS n FROM part WHERE trim(p_type) <> '' GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY pos, v) AS k FROM v),
+_KINDS = """v AS (SELECT {c} AS v, min({i}) AS pos, count(*) AS n FROM {f} WHERE trim({c}) <> '' GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY pos, v) AS k FROM v),
     g AS (SELECT 1 AS k, [(SELECT v FROM o WHERE k = 1)] AS seeds UNION ALL SELECT g.k + 1, CASE WHEN len(list_filter(g.seeds, lambda s: s = o.v OR 1 - levenshtein(s, o.v) / greatest(length(s), length(o.v)) >= {t})) > 0 THEN g.seeds ELSE list_append(g.seeds, o.v) END FROM g JOIN o ON o.k = g.k + 1),
     w AS (SELECT o.*, list_filter((SELECT seeds FROM g ORDER BY k DESC LIMIT 1), lambda s: s = o.v OR 1 - levenshtein(s, o.v) / greatest(length(s), length(o.v)) >= {t})[1] AS seed FROM o),
-    b AS (SELECT seed, arg_max(v, (n, -k)) AS best FROM w GROUP BY seed) SELECT p_partkey, coalesce(b.best, p.p_type) AS kind FROM part p LEFT JOIN w ON w.v = p.p_type LEFT JOIN b ON b.seed = w.seed"""
-ORACLES["q60_merge_similar_values"] = "WITH RECURSIVE " + _KINDS.format(t=0.8)
+    b AS (SELECT seed, arg_max(v, (n, -k)) AS best FROM w GROUP BY seed) SELECT {i}, coalesce(b.best, p.{c}) AS kind FROM {f} p LEFT JOIN w ON w.v = p.{c} LEFT JOIN b ON b.seed = w.seed"""
+ORACLES["q60_merge_similar_values"] = "WITH RECURSIVE " + _KINDS.format(t=0.8, c="p_type", i="p_partkey", f="part")
 
 
-@query("WITH RECURSIVE " + _KINDS.format(t=0.6))
+@query("WITH RECURSIVE " + _KINDS.format(t=0.9, c="s_name", i="s_suppkey", f="supplier"))
 def q98_merge_in_blocks(spark, sf_dir):  # noqa: ANN001, ANN201
-    df = _read(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("kind"))
-    return fuzzy.merge_similar_values(df, ["kind"], "p_partkey", "levenshtein", 0.6, most=4)
+    df = _read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("kind"))
+    return fuzzy.merge_similar_values(df, ["kind"], "s_suppkey", "levenshtein", 0.9, most=30)

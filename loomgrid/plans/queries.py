@@ -511,13 +511,17 @@ def q60_merge_similar_values(spark, sf_dir):  # noqa: ANN001, ANN201
     return fuzzy.merge_similar_values(df, ["kind"], "p_partkey", "levenshtein", 0.8)
 
 
-@query()
+@query("""WITH d AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, * FROM lineitem), m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM d),
+    c AS (SELECT * REPLACE (CASE l_returnflag WHEN 'R' THEN 'RETURNED' ELSE upper(l_returnflag) END AS l_returnflag) FROM d)
+    SELECT id, l_orderkey::VARCHAR AS l_orderkey, l_partkey::VARCHAR AS l_partkey, l_suppkey::VARCHAR AS l_suppkey, l_linenumber::VARCHAR AS l_linenumber, l_quantity::VARCHAR AS l_quantity, round((l_extendedprice - lo) / (hi - lo), 4) AS l_extendedprice,
+    l_discount::VARCHAR AS l_discount, l_tax::VARCHAR AS l_tax, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, l_returnflag || ' ' || l_linestatus AS flags,
+    CASE WHEN l_quantity < 10 THEN 'bin_0' WHEN l_quantity < 25 THEN 'bin_1' WHEN l_quantity < 50 THEN 'bin_2' ELSE 'bin_3' END AS l_quantity_binned FROM c, m""")
 def q61_cleaning_pipeline(spark, sf_dir):  # noqa: ANN001, ANN201
     from loomgrid.plans.cleaning import CleaningOptions, clean
 
     df = _read(spark, sf_dir, "lineitem").withColumn("id", _c("l_orderkey") * 10 + _c("l_linenumber"))
     options = CleaningOptions(remove_empty_rows=True, remove_duplicates=True, replace_values=True, replacement_map={"R": "returned"}, fill_missing_values=True, fill_strategy="constant", fill_constant_value="?", trim_whitespace=True, standardize_case=True, case_mode="upper", standardize_dates=True, remove_leading_zeros=True, merge_columns=True, columns_to_merge=["l_returnflag", "l_linestatus"], merged_column_name="flags", normalize_data=True, normalize_columns=["l_extendedprice"], bin_data=True, bin_column="l_quantity", bin_edges=[0, 10, 25, 50], merge_similar_values=True, fuzzy_match_columns=["l_returnflag"])
-    return clean(df, options, "id")
+    return clean(df, options, "id").withColumn("l_extendedprice", F.round(_c("l_extendedprice").cast("double"), 4))
 
 
 @query("""SELECT 'no operator' AS rule, c_custkey FROM customer UNION ALL SELECT 'categorical equal', c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'
