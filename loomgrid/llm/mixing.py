@@ -7,7 +7,7 @@ repeated that often, and all copies are dealt out by a hash and sorted by it wit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import OWN, materialize, rest_of, small_or_not
@@ -17,7 +17,7 @@ ALPHA = 0.5
 
 
 def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = ALPHA, rows: int | None = None) -> DataFrame:
-    """(source, n, weight, rate, cdf) of each source; cdf[k] is the probability of k or fewer copies.
+    """(source, n, weight, rate) of each source; rate is the mean number of copies of its rows.
 
     ``weights`` names the weight of each source; others get none. Without it a source of n rows weighs
     n ** alpha. The weights are divided by their sum. ``rows`` is the expected size of the mix, by default
@@ -35,10 +35,21 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
     sums = weighed.agg(F.sum("weight").alias("all_weights"), F.sum("n").alias("all_rows"))
     total = F.col("all_rows") if rows is None else F.lit(rows)
     rated = weighed.crossJoin(F.broadcast(sums)).where("all_weights > 0 and weight > 0")  # sums is one row
-    rated = rated.select("source", "n", (F.col("weight") / F.col("all_weights")).alias("weight"), (F.col("weight") / F.col("all_weights") * total / F.col("n")).alias("rate"))
-    # log p(j) = -rate + j log(rate) - log(j!), summed in logarithms, so that no rate is too large for a double
-    terms = "aggregate(sequence(0, cast(ceil(rate + 12 * sqrt(rate) + 30) as int)), named_struct('at', cast(0 as double), 'sum', cast(0 as double), 'cdf', cast(array() as array<double>)), (s, j) -> named_struct('at', s.at + if(j = 0, 0D, ln(rate) - ln(j)), 'sum', s.sum + exp(s.at + if(j = 0, 0D, ln(rate) - ln(j)) - rate), 'cdf', concat(s.cdf, array(s.sum + exp(s.at + if(j = 0, 0D, ln(rate) - ln(j)) - rate)))), s -> s.cdf)"
-    return rated.withColumn("cdf", F.expr(terms))
+    return rated.select("source", "n", (F.col("weight") / F.col("all_weights")).alias("weight"), (F.col("weight") / F.col("all_weights") * total / F.col("n")).alias("rate"))
+
+
+def copies_at(rate: str, uniform: str) -> Column:
+    """How often a row is repeated: the Poisson distribution with mean ``rate`` inverted at ``uniform``, both columns.
+
+    log p(j) = -rate + j log(rate) - log(j!) is summed in logarithms, so that no rate is too large for a double. A row
+    takes steps in proportion to its rate, as it gives copies, and holds two sums and no table.
+    """
+    step = "s.at + if(j = 0, 0D, ln(s.rate) - ln(j))"
+    more = f"s.sum + exp({step} - s.rate)"
+    return F.expr(
+        f"aggregate(sequence(0, cast(ceil({rate} + 12 * sqrt({rate}) + 30) as int)), named_struct('rate', {rate}, 'u', {uniform}, 'at', 0D, 'sum', 0D, 'n', 0),"
+        f" (s, j) -> named_struct('rate', s.rate, 'u', s.u, 'at', {step}, 'sum', {more}, 'n', s.n + if({more} <= s.u, 1, 0)), s -> s.n)"
+    )
 
 
 def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = ALPHA, rows: int | None = None, seed: int = SEED, text_col: str = "text") -> DataFrame:
@@ -47,14 +58,14 @@ def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     Rows of one id get the same number of copies; a null id counts as the text's digest, and null of both as
     one id. A column named copy is replaced. An empty table stays empty.
     """
-    own = [f"{OWN}{x}" for x in ("key", "cdf", "n", "source", "at")]
-    key, cdf, n, source, at = own
-    rates = source_rates(docs, source_col, weights, alpha, rows).select(F.col("source").alias(source), F.col("cdf").alias(cdf))
+    own = [f"{OWN}{x}" for x in ("key", "rate", "n", "source", "at")]
+    key, rate, n, source, at = own
+    rates = source_rates(docs, source_col, weights, alpha, rows).select(F.col("source").alias(source), F.col("rate").alias(rate))
     name = F.col(f"`{id_col}`").cast("string")
     name = F.coalesce(name, F.concat(F.lit("t"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))) if text_col in docs.columns else F.coalesce(name, F.lit("t"))
     uniform = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
     drawn = docs.withColumn(key, name).join(small_or_not(rates), F.col(f"`{source_col}`").eqNullSafe(F.col(source)))
-    drawn = drawn.withColumn(at, uniform).withColumn(n, F.expr(f"size(filter({cdf}, c -> c <= {at}))")).where(F.col(n) > 0)
+    drawn = drawn.withColumn(at, uniform).withColumn(n, copies_at(rate, at)).where(F.col(n) > 0)
     kept = rest_of(docs, "copy")
     copies = drawn.select(*kept, F.col(key), F.explode(F.sequence(F.lit(1), F.col(n))).alias("copy"))
     dealt = copies.withColumn(key, F.xxhash64(F.lit(seed), key, "copy", F.monotonically_increasing_id()))
