@@ -62,7 +62,7 @@ def test_mixing_rates_and_repeats(spark):
 
 def test_mixing_at_high_rates(spark):
     docs = spark.createDataFrame([(k, "x", "rare" if k == 0 else "often") for k in range(40)], "doc_id bigint, text string, source string")
-    found = dict(tuple(r) for r in poisson_mix(docs, weights={"rare": 1.0, "often": 1.0}, rows=200_000).groupBy("source").count().collect())
+    found = dict(tuple(r) for r in mixing.poisson_mix(docs, weights={"rare": 1.0, "often": 1.0}, rows=200_000).groupBy("source").count().collect())
     assert abs(found["rare"] - 100_000) < 2_000 and abs(found["often"] - 100_000) < 2_000
 
 
