@@ -1,22 +1,33 @@
 """Similarity of texts, and merging of similar values.
 
 Merging is greedy in the order in which values first occur, so it is sequential by its definition. It runs on the
-distinct values of a column only. Up to a stated number of values a column is one task. Beyond it, blocks of that many
-values open groups one after another, and the values behind each block are compared with its groups all over the cluster.
+distinct values of a column only. Up to a stated number of values a column is one task. Beyond it, blocks of values, the
+first of that number and each longer than the last, open groups one after another, and the values behind each block are compared
+with its groups all over the cluster. An index, or bags of characters, spare most of these comparisons.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.scalars import blank, jtrim
 
-#: Distinct values of a column that one task merges; more go in blocks of this size.
-MOST_VALUES = 20_000
+#: Distinct values of a column that one task merges, and the size that blocks grow to, by this factor.
+MOST_VALUES, GROWTH = 20_000, 4
+#: Bytes of a block that has grown, where texts are long.
+MOST_BYTES = 64_000_000
+#: Texts left by deletions that a form may have to be indexed by them.
+MOST_LEFT = 200
+#: A block ends at this many such texts of its seeds, or seeds that have to be scanned: one process finds them.
+MOST_INDEXED, MOST_SCANNED = 300_000, 4_000
+#: Counts of a bag of characters or trigrams, and bags that are looked at together.
+BINS, CHUNK = 64, 512
 SALTS = 32
 
 
@@ -94,51 +105,154 @@ def similarity(a: str, b: str, algorithm: str, threshold: float) -> float:
         x, y = ({s} if len(s) < 3 else {s[i : i + 3] for i in range(len(s) - 2)} for s in (a, b))
         return len(x & y) / (math.sqrt(len(x)) * math.sqrt(len(y)))
     size = max(len(a), len(b))
-    most = int(math.floor((1 - threshold) * size + 1e-9))
-    return 1 - _edit_distance(a, b, most) / size
-
-
-def seeded(forms: list[str], algorithm: str, threshold: float) -> list[int]:
-    """The place of the seed that each form falls to: the first earlier seed that is similar to it, else itself."""
-    seeds: list[int] = []
-    out = []
-    for k, form in enumerate(forms):
-        own = next((s for s in seeds if similarity(forms[s], form, algorithm, threshold) >= threshold), k)
-        if own == k:
-            seeds.append(k)
-        out.append(own)
-    return out
+    return 1 - _edit_distance(a, b, _most_edits(size, threshold)) / size
+
+
+def _most_edits(size: int, threshold: float) -> int:
+    return int(math.floor((1 - threshold) * size + 1e-9))
+
+
+class _Scanned:
+    """Seeds in their order. Bags of characters, or of trigrams for the cosine, rule out those that can't be similar."""
+
+    def __init__(self, algorithm: str, threshold: float) -> None:
+        self.algorithm, self.threshold = algorithm, threshold
+        self.seeds: list[tuple[int, str]] = []
+        self.bags, self.sizes = np.zeros((CHUNK, BINS), "int32"), np.zeros(CHUNK, "int32")
+
+    def _bag(self, form: str) -> np.ndarray:
+        if self.algorithm == "cosine":
+            held = [hash(g) for g in ({form} if len(form) < 3 else {form[i : i + 3] for i in range(len(form) - 2)})]
+        else:
+            held = [ord(ch) for ch in form]
+        return np.bincount(np.array(held, "int64") % BINS, minlength=BINS)
+
+    def add(self, place: int, form: str) -> None:
+        k = len(self.seeds)
+        if k == len(self.sizes):
+            self.bags, self.sizes = np.concatenate([self.bags, np.zeros_like(self.bags)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.bags[k] = self._bag(form)
+        self.sizes[k] = self.bags[k].sum()
+        self.seeds.append((place, form))
+
+    def first(self, form: str) -> int | None:
+        if not self.seeds:
+            return None
+        bag = self._bag(form)
+        size = bag.sum()
+        for low in range(0, len(self.seeds), CHUNK):
+            sizes = self.sizes[low : min(low + CHUNK, len(self.seeds))]
+            common = np.minimum(self.bags[low : low + len(sizes)], bag).sum(axis=1)  # at least what the texts have in common
+            if self.algorithm == "cosine":
+                best = common / np.sqrt(sizes * float(size))
+            elif self.algorithm == "jaro_winkler":
+                best = 0.4 + 0.6 * (common / sizes + common / size + 1) / 3
+            else:
+                best = common / np.maximum(sizes, size)
+            for k in np.flatnonzero(best >= self.threshold - 1e-9):
+                place, seed = self.seeds[low + k]
+                if similarity(seed, form, self.algorithm, self.threshold) >= self.threshold:
+                    return place
+        return None
+
+
+class _Seeds:
+    """Seeds in their order, to find the first one that is similar to a form.
+
+    Texts within some edits leave a text in common when each loses as many characters as its own length allows edits, or
+    fewer: an edit costs a text one character at most, and a longer text allows no more edits beyond its greater length.
+    Forms that leave few texts are indexed by them, the others are scanned.
+    """
+
+    def __init__(self, algorithm: str, threshold: float) -> None:
+        self.algorithm, self.threshold = algorithm, threshold
+        self.by_left: dict[int, list[tuple[int, str]]] = {}
+        self.indexed, self.others = _Scanned(algorithm, threshold), _Scanned(algorithm, threshold)
+
+    def _left(self, form: str) -> set[int] | None:
+        """Hashes of the texts that deletions leave of a form; none if there are many."""
+        if self.algorithm in ("jaro_winkler", "cosine"):
+            return None
+        most, n = _most_edits(len(form), self.threshold), 0
+        for d in range(most + 1):
+            n += math.comb(len(form), d)
+            if n > MOST_LEFT:
+                return None
+        return {hash("".join(kept)) for d in range(most + 1) for kept in itertools.combinations(form, len(form) - d)}
+
+    @property
+    def full(self) -> bool:
+        return len(self.by_left) >= MOST_INDEXED or len(self.others.seeds) >= MOST_SCANNED
+
+    def add(self, place: int, form: str) -> None:
+        left = self._left(form)
+        (self.others if left is None else self.indexed).add(place, form)
+        for text in left or ():
+            self.by_left.setdefault(text, []).append((place, form))
+
+    def first(self, form: str) -> int | None:
+        left = self._left(form)
+        if left is None:
+            found = self.indexed.first(form)
+        else:
+            near = sorted({seed for text in left for seed in self.by_left.get(text, ())})
+            found = next((p for p, f in near if similarity(f, form, self.algorithm, self.threshold) >= self.threshold), None)
+        other = self.others.first(form)
+        return found if other is None else other if found is None else min(found, other)
+
+
+def seeded(block: list[tuple[int, str]], algorithm: str, threshold: float) -> tuple[dict[int, int], list[tuple[int, str]]]:
+    """The place of the seed that each (place, form) falls to, the first earlier seed that is similar to it, else itself; and the seeds.
+
+    The block ends early where its seeds are full.
+    """
+    known, seeds = _Seeds(algorithm, threshold), []
+    own: dict[int, int] = {}
+    for place, form in block:
+        if known.full:
+            break
+        found = known.first(form)
+        if found is None:
+            known.add(place, form)
+            seeds.append((place, form))
+        own[place] = place if found is None else found
+    return own, seeds
 
 
 def _seeds_in_blocks(values: DataFrame, algorithm: str, threshold: float, most: int) -> DataFrame:
-    """(value, at, n, seed) for any number of values: the order number of the seed that each falls to.
+    """(value, form, at, n, place, seed) for any number of values: the order number of the seed that each falls to.
 
-    A round takes the first ``most`` values that have no seed, finds the seeds among them in one task, and gives the rest of
-    the cluster's values the first of these seeds that is similar. Each pair of a value and a seed is compared once at most.
+    A round takes the first values that have no seed, finds the seeds among them, and gives the rest of the cluster's values
+    the first of these seeds that is similar. No pair of a value and a seed is compared twice. The first block holds ``most``
+    values, each later one up to GROWTH times as many as the last, since a round costs its jobs whatever it holds.
     """
     from loomgrid.operators.ranks import numbered, scratch
 
     rest = scratch(numbered(values, ["at", "value"], "place"))
+    longest = rest.agg(F.max(F.octet_length("form"))).first()[0] or 1
+    size, tasks = max(1, most), values.sparkSession.sparkContext.defaultParallelism
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields) + ", seed bigint"
     out = None
     while True:
-        block = rest.orderBy("place").limit(most).toPandas()  # `most` rows at most
-        if not len(block):
+        block = [(r.place, r.form) for r in rest.select("place", "form").orderBy("place").limit(size).collect()]  # of bounded size
+        if not block:
             break
-        block["seed"] = [int(block["place"].iloc[k]) for k in seeded(list(block["form"]), algorithm, threshold)]
-        opened = block[block["seed"] == block["place"]]
-        seeds, last = list(zip(opened["place"].astype(int), opened["form"])), int(block["place"].iloc[-1])
-        known = values.sparkSession.createDataFrame([(int(p), int(s)) for p, s in zip(block["place"], block["seed"])], "place bigint, seed bigint")
+        own, seeds = seeded(block, algorithm, threshold)
 
-        def find(frames, seeds=seeds):  # noqa: ANN001, ANN202
+        def find(frames, own=own, seeds=seeds):  # noqa: ANN001, ANN202
+            known = _Seeds(algorithm, threshold)
+            for place, form in seeds:
+                known.add(place, form)
             for frame in frames:
-                own = [next((p for p, f in seeds if similarity(f, form, algorithm, threshold) >= threshold), None) for form in frame["form"]]
-                yield frame.assign(seed=pd.array(own, dtype="Int64"))
+                found = [own[p] if p in own else known.first(f) for p, f in zip(frame["place"], frame["form"])]
+                yield frame.assign(seed=pd.array(found, dtype="Int64"))
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields) + ", seed bigint"
-        later = scratch(rest.where(F.col("place") > last).repartition("place").mapInPandas(find, schema))
-        done = rest.where(F.col("place") <= last).join(F.broadcast(known), "place").unionByName(later.where("seed is not null"))  # `most` rows at most
+        # a number of tasks, since adaptive execution would put so few bytes into one task
+        met = scratch(rest.repartition(tasks, "place").mapInPandas(find, schema))
+        done = met.where("seed is not null")
         out = done if out is None else out.unionByName(done)
-        rest = later.where("seed is null").drop("seed")
+        rest = met.where("seed is null").drop("seed")
+        size = max(1, most, min(GROWTH * size, MOST_VALUES, MOST_BYTES // longest))
     return out if out is not None else rest.withColumn("seed", F.col("place"))
 
 

@@ -113,6 +113,44 @@ def test_merge_in_blocks_gives_what_one_task_gives(spark):
     assert merged(spark, ["", None], most=0) == ["", None]
 
 
+def test_merge_in_many_blocks_takes_few_rounds(spark):
+    values = [f"Supplier#{k:09d}" for k in range(0, 400, 11)] + [chr(97 + k % 26) * (3 + k // 26) for k in range(180)]
+    values += [v + "x" for v in values[-60:]]
+    before = len(ranks._MADE)
+    found = merged(spark, values, most=2, threshold=0.9, prefer="first")
+    assert len(ranks._MADE) - before < 12  # one table for each round
+    assert found == merged(spark, values, threshold=0.9, prefer="first")
+    assert len(set(found)) < len(set(values))
+
+
+@pytest.mark.parametrize("algorithm", ["levenshtein", "jaro_winkler", "cosine"])
+def test_indexed_seeds_are_the_first_similar_ones(algorithm, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(fuzzy, "CHUNK", 4)
+    for threshold in (0.3, 0.6, 0.8, 0.85, 0.9, 1.0):
+        forms = ["".join(rng.choice("abcé") for _ in range(rng.choice([1, 2, 5, 9, 11, 24]))) for _ in range(60)]
+        forms += [f[:k] + rng.choice("abc") + f[k + rng.randint(0, 1) :] for f in forms for k in [rng.randint(0, len(f) - 1)]]
+        wanted, seeds = {}, []
+        for k, form in enumerate(forms):
+            wanted[k] = next((s for s in seeds if fuzzy.similarity(forms[s], form, algorithm, threshold) >= threshold), k)
+            seeds += [k] if wanted[k] == k else []
+        assert fuzzy.seeded(list(enumerate(forms)), algorithm, threshold) == (wanted, [(s, forms[s]) for s in seeds])
+
+
+def test_seeds_are_compared_with_few_values(monkeypatch):
+    calls, own = [], fuzzy.similarity
+    monkeypatch.setattr(fuzzy, "similarity", lambda *a: calls.append(a) or own(*a))
+    names = [(k, f"Supplier#{k:09d}") for k in range(3000)]
+    found, seeds = fuzzy.seeded(names, "levenshtein", 0.9)
+    assert len(found) == 3000 and len(calls) < 10 * len(names)
+    monkeypatch.setattr(fuzzy, "MOST_INDEXED", 100)
+    part, few = fuzzy.seeded(names, "levenshtein", 0.9)
+    assert 0 < len(part) < 3000 and part == {k: found[k] for k in range(len(part))} and few == seeds[: len(few)]
+    monkeypatch.setattr(fuzzy, "MOST_SCANNED", 5)
+    part, few = fuzzy.seeded(names[:300], "jaro_winkler", 0.99)
+    assert len(few) == 5 and 5 <= len(part) < 300
+
+
 def test_banded_distance_is_exact():
     def plain(a, b):
         row = list(range(len(b) + 1))
