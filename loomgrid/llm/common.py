@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +18,10 @@ OWN = "__lg_"
 BROADCAST_ROWS = 200_000
 #: Rows of one key that a shuffled join takes without a look at the share.
 HOT_ROWS = 256
+#: Bytes of a batch of rows that goes to a Python worker, or the one row that is larger.
+BATCH_BYTES = 4 << 20
+#: What this Python worker keeps from task to task, by operator: of one at a time.
+_KEPT: dict[str, dict] = {}
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -55,6 +64,40 @@ def pin_splits(spark: SparkSession) -> None:
         spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch that goes to a Python worker, where it isn't set: 10,000 rows of long texts would
+    lie in the executor's memory several times."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def kept(operator: str) -> dict:
+    """What the worker keeps of ``operator`` from task to task; what it kept of another goes, since workers outlive operators."""
+    if operator not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+        _KEPT[operator] = {}
+    return _KEPT[operator]
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of ``operator`` for mapInArrow, so that a worker starts without what it kept of other operators and, at the
+    end of the task, returns to the system what its allocators hold free."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(operator)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+
+    return made
+
+
 def text_bytes(column: str) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import materialize
+from loomgrid.llm.common import bound_batches, lean, materialize
 from loomgrid.llm.tokens import WORD_BPE, lookup
 
 LENGTH = 4096
@@ -96,7 +96,8 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "place"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(cut, _PIECES)
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(lean(cut, "tokens"), _PIECES)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = WORD_BPE, length: int = LENGTH, end: int = END) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import join_counted, materialize, pin_splits, rest_of, small_or_not
+from loomgrid.llm.common import bound_batches, join_counted, lean, materialize, pin_splits, rest_of, small_or_not
 
 SHINGLE = 4
 SEED = 42
@@ -45,6 +45,8 @@ BLOCK = 4096
 COUNTED = 8
 #: Rows of keys that one task gets on average.
 KEYS_A_TASK = 600_000
+#: Fingerprints whose keys leave a worker in one batch.
+KEYED = 512
 #: Fixed value: the generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 _GOLAY = 0b110001110101
 #: The increment and the multipliers of splitmix64.
@@ -149,8 +151,9 @@ def fingerprints(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k].copy().view(np.int64)) for k in range(rule.words)), proof], ["uid", "doc_id", *rule.columns, "proof"])
 
     pin_splits(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"uid bigint, doc_id bigint, {', '.join(f'{c} bigint' for c in rule.columns)}, proof binary")
+    return rows.mapInArrow(lean(run, "simhash"), f"uid bigint, doc_id bigint, {', '.join(f'{c} bigint' for c in rule.columns)}, proof binary")
 
 
 def _golay_errors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,7 +253,7 @@ def bucket_links(group: np.ndarray, side: np.ndarray, node: np.ndarray, fps: np.
     Each row of ``fps`` belongs to the node of the same place. side: 0 and 1 are compared with one another only, 2 with all of its group.
     """
     order = np.lexsort((node, group))
-    group, side, fps = group[order], side[order], fps[order].reshape(len(order), -1).view(np.uint64)
+    group, side, fps = group[order], side[order], fps.reshape(len(order), -1).view(np.uint64)
     values, node = np.unique(node[order], return_inverse=True)
     held, found, many = (np.zeros(0, np.int64),) * 3, [], 0
     active, step = np.arange(len(group)), 1
@@ -260,7 +263,7 @@ def bucket_links(group: np.ndarray, side: np.ndarray, node: np.ndarray, fps: np.
         for at in range(0, len(active), 1 << 18):  # bounds the rows that are laid side by side
             here = active[at : at + (1 << 18)]
             here = here[(side[here] == 2) | (side[here] != side[here + step])]
-            apart = _apart(fps[here], fps[here + step], most)
+            apart = _apart(fps[order[here]], fps[order[here + step]], most)
             near = here[apart <= most]
             if len(near):
                 found.append((node[near], node[near + step], apart[apart <= most]))
@@ -277,16 +280,19 @@ def _links(fps: DataFrame, block: int, rule: Rule) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = pa.RecordBatch.from_arrays([c[at : at + 2048] for c in batch.columns], batch.schema.names)
+            for at in range(0, batch.num_rows, KEYED):
+                part = pa.RecordBatch.from_arrays([c[at : at + KEYED] for c in batch.columns], batch.schema.names)
                 key, owner = pair_keys(np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns[1:]], axis=1), rule)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *(c.take(pa.array(owner)) for c in part.columns)], ["key", *part.schema.names])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is not None and table.num_rows:
-            columns = {name: table.column(name).to_numpy() for name in table.column_names}
-            fps_of = np.stack([columns[c] for c in rule.columns], axis=1)
+            fps_of = np.empty((table.num_rows, rule.words), np.int64)
+            for k, c in enumerate(rule.columns):
+                fps_of[:, k] = table.column(c).to_numpy()
+            columns = {name: table.column(name).to_numpy() for name in table.column_names if name not in rule.columns}
+            del batches, table  # the rows lie here once from now on
             group, side = columns["key"], columns.get("side", np.full(len(fps_of), 2, np.int8))
             if "low" in columns:
                 group = np.unique(np.stack([columns[c].astype(np.int64) for c in ("key", "low", "high")]), axis=1, return_inverse=True)[1].reshape(-1)
@@ -297,19 +303,19 @@ def _links(fps: DataFrame, block: int, rule: Rule) -> DataFrame:
     own = fps.select("node", *rule.columns)
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() * 28 * len(rule.pairs) // KEYS_A_TASK))
     dealt_out = own.repartition(parts, "node")
-    rows = dealt_out.mapInArrow(keyed, f"key int, {carried}")
-    counted = dealt_out.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0).mapInArrow(keyed, f"key int, {carried}")
+    rows = dealt_out.mapInArrow(lean(keyed, "simhash"), f"key int, {carried}")
+    counted = dealt_out.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0).mapInArrow(lean(keyed, "simhash"), f"key int, {carried}")
     hot = materialize(counted.groupBy("key").agg((F.count(F.lit(1)) * COUNTED).alias("n")).where(F.col("n") > block // 2), "hot-keys")
     if hot.isEmpty():
-        return rows.repartition(parts, "key").mapInArrow(compared, "a bigint, b bigint")
+        return rows.repartition(parts, "key").mapInArrow(lean(compared, "simhash"), "a bigint, b bigint")
     hot = small_or_not(hot)
-    cold = rows.join(hot, "key", "left_anti").repartition(parts, "key").mapInArrow(compared, "a bigint, b bigint")
+    cold = rows.join(hot, "key", "left_anti").repartition(parts, "key").mapInArrow(lean(compared, "simhash"), "a bigint, b bigint")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     dealt = rows.join(hot, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = dealt.select("key", "own", "node", *rule.columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("byte")
     work = paired.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), "node", *rule.columns)
-    return cold.unionByName(work.repartition(parts, "key", "low", "high").mapInArrow(compared, "a bigint, b bigint"))
+    return cold.unionByName(work.repartition(parts, "key", "low", "high").mapInArrow(lean(compared, "simhash"), "a bigint, b bigint"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -353,7 +359,7 @@ def _proven(pairs: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
         counts = pairs.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("n"))
         proofs = materialize(distinct.select("node", "proof").join(counts, "node").select(F.col("node").alias(side), F.col("proof").alias(f"proof_{side}"), "n"), "proofs")
         pairs = join_counted(pairs, proofs, side)
-    return pairs.select("a", "b", "proof_a", "proof_b").mapInArrow(verified, "a bigint, b bigint")
+    return pairs.select("a", "b", "proof_a", "proof_b").mapInArrow(lean(verified, "simhash"), "a bigint, b bigint")
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, block: int, rule: Rule) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.common import kept
+
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Chunks that a task's summary holds, and that the broadcast table holds.
@@ -144,14 +146,12 @@ class Lookup:
         return (rest[c] if (x := first(c)) is None else x for c in chunks)
 
 
-_LOOKUPS: dict[tuple, Lookup] = {}
-
-
 def lookup(name: str, kind: str) -> Lookup:
-    """The worker's own lookup, which lives as long as the worker. kind: count or bytes."""
-    if (name, kind) not in _LOOKUPS:
-        _LOOKUPS[name, kind] = Lookup(name, len, sum) if kind == "count" else Lookup(name, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
-    return _LOOKUPS[name, kind]
+    """The worker's own lookup, which lives until the worker runs another operator. kind: count or bytes."""
+    own = kept("tokens")
+    if (name, kind) not in own:
+        own[name, kind] = Lookup(name, len, sum) if kind == "count" else Lookup(name, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
+    return own[name, kind]
 
 
 def frequent_chunks(docs: DataFrame, text_col: str, tokenizer: str, size: int = FREQUENT, summary: int = SUMMARY) -> list[tuple[str, int]]:

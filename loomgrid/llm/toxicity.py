@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import OWN
+from loomgrid.llm.common import OWN, bound_batches, kept, lean
 from loomgrid.llm.samples import labelled, remainder, texts_of
 
 #: Labelled documents of each label that are learned from, and the share that calibrates.
@@ -111,15 +111,13 @@ class Voter:
         return [sum(found[v:]) for v in VOTES], len(own)
 
 
-_VOTERS: dict[tuple[bytes, bytes], Voter] = {}
-
-
 def voter(ordinary: bytes, toxic: bytes) -> Voter:
-    if (ordinary, toxic) not in _VOTERS:
-        if len(_VOTERS) > len(TOXIC):
-            _VOTERS.clear()
-        _VOTERS[ordinary, toxic] = Voter(ordinary, toxic)
-    return _VOTERS[ordinary, toxic]
+    own = kept("toxicity")
+    if (ordinary, toxic) not in own:
+        if len(own) > len(TOXIC):
+            own.clear()
+        own[ordinary, toxic] = Voter(ordinary, toxic)
+    return own[ordinary, toxic]
 
 
 def pairs(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -173,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc
 
     Without labels of both kinds, the model gives every document the share of toxic labels (0.5 if there are none).
     """
+    bound_batches(docs.sparkSession)
     sample = labelled(labels, id_col, label_col, learns, learned).withColumn("calibrates", F.pmod(F.xxhash64(F.lit(11), f"{OWN}id"), F.lit(100)) < int(100 * CALIBRATED))
     sample = texts_of(docs, sample, id_col, text_col).persist()
     try:
@@ -190,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc
 
         # how many words follow a mark, not how many documents have it: copies of a document add nothing
         learning = sample.where(~F.col("calibrates"))
-        counted = learning.select("text", "label").mapInArrow(begun, "mark binary, after bigint, label int").distinct().groupBy("mark").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+        counted = learning.select("text", "label").mapInArrow(lean(begun, "toxicity"), "mark binary, after bigint, label int").distinct().groupBy("mark").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
         # beyond the standard deviations and three times the ordinary rate
         gain = F.col("a") - SURE * F.sqrt("a") - F.lit(3 * toxic / ordinary) * (F.col("b") + 0.5)
         marks = {bytes(r["mark"]) for r in counted.where(gain > 0).orderBy(F.desc(gain), "mark").limit(MARKS).collect()}
@@ -202,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc
                     found = {(mark, crc32(w + b" " + after)) for w, after in pairs(words) if (mark := span(w, marks))} if label else {(w, 0) for w in windows(words, TAUGHT_WINDOW, TAUGHT_WINDOW)}
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), pa.array([label] * len(found), pa.int32())], ["part", "after", "label"])
 
-        parts = learning.select("text", "label").mapInArrow(cut, "part binary, after bigint, label int").distinct()
+        parts = learning.select("text", "label").mapInArrow(lean(cut, "toxicity"), "part binary, after bigint, label int").distinct()
         ordinary_content = dictionary(_sampled(parts.where("label = 0"), TAUGHT), ORDINARY, _ORDINARY_COVER)
         spans = _sampled(parts.where("label = 1"), TAUGHT)
         spans = [s * (1 + SPAN // len(s)) for s in spans]  # what lies across two spans teaches nothing
@@ -214,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc
                 rows = [(label, *(v for own in voters for v in own.votes(text)[0]), len(windows(words_of(text)))) for text, label in zip(*(c.to_pylist() for c in batch.columns))]
                 yield pa.RecordBatch.from_arrays([pa.array([list(map(float, r)) for r in rows], pa.list_(pa.float64()))], ["row"])
 
-        rows = np.array([r["row"] for r in sample.where("calibrates").select("text", "label").mapInArrow(vote, "row array<double>").collect()])
+        rows = np.array([r["row"] for r in sample.where("calibrates").select("text", "label").mapInArrow(lean(vote, "toxicity"), "row array<double>").collect()])
     finally:
         sample.unpersist()
     y, n_windows, best = rows[:, 0], rows[:, -1], None
@@ -241,6 +240,7 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text", to: str = "sco
         found = [own.votes(t or "") for t in texts]
         return pd.Series(model.score(np.array([v for v, _ in found], float).reshape(len(found), len(VOTES)), np.array([n for _, n in found], float)))
 
+    bound_batches(docs.sparkSession)
     return docs.withColumn(to, run(F.col(f"`{text_col}`").cast("string")))
 
 

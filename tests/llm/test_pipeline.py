@@ -1,8 +1,11 @@
+import gc
+
 import numpy as np
+import pyarrow as pa
 
 import __spark_entry__
 import corpus_pipeline
-from loomgrid.llm import simhash, toxicity
+from loomgrid.llm import packing, simhash, toxicity
 from tests.llm.test_dedup import jaccard
 
 DIR = "/root/testdata/sf0.001"
@@ -55,3 +58,32 @@ def test_registered(spark):
     names = list(__spark_entry__.queries())
     assert [n for n in names if n == "pipeline" or n.startswith("op")][0] == "op1_mix_sources" and "pipeline" in names
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+
+
+def test_workers_keep_tables_of_one_operator(spark):
+    """What packing leaves in a worker isn't there while near_dedup runs and after it."""
+
+    def lookups(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Lookup" for x in gc.get_objects())])], ["n"])
+
+    def held():
+        return sum(r.n for r in spark.range(0, 16, 1, 16).mapInArrow(lookups, "n bigint").collect())
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").repartition(8)
+    packing.pack_documents(docs).count()
+    assert held() > 0
+    simhash.near_dedup(docs.localCheckpoint()).count()
+    assert held() == 0
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """Long texts reach a worker a few MB at a time."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.range(0, 600, 1, 1).selectExpr("id as doc_id", "repeat(concat(id, ' '), 10000) as text")
+    assert simhash.near_dedup(docs.limit(10)).count() == 10
+    assert max(r.n for r in docs.select("text").mapInArrow(sizes, "n bigint").collect()) < 8 << 20
